@@ -114,13 +114,12 @@ def roi_lookup(
 
 def global_extreme_filter(df: DataFrame, cols: Sequence[str], which: str = "both") -> DataFrame:
     """Rows that hold the overall minimum or maximum of any of the columns."""
-    tests = []
-    for c in cols:
-        if which in ("both", "min"):
-            tests.append(F.col(c) == df.agg(F.min(c).alias("low")).scalar())
-        if which in ("both", "max"):
-            tests.append(F.col(c) == df.agg(F.max(c).alias("high")).scalar())
-    condition = tests[0]
-    for test in tests[1:]:
-        condition = condition | test
-    return df.where(condition)
+    ends = {"min": F.min, "max": F.max}
+    wanted = [(c, end) for c in cols for end in ends if which in ("both", end)]
+    found = df.agg(F.struct(*[ends[end](c).alias(f"{end}_{c}") for c, end in wanted]).alias("ends"))
+    # one pass for all extremes, handed over as a scalar
+    known = df.withColumn("_ends", found.scalar())
+    condition = F.lit(False)
+    for c, end in wanted:
+        condition = condition | (F.col(c) == F.col("_ends")[f"{end}_{c}"])
+    return known.where(condition).drop("_ends")

@@ -95,8 +95,11 @@ def roi_dwell(
         shares = _bin_shares(roi, (non, roi | non), float(low), float(high), edges)
         binned += [shares[0].alias(f"dwell_bin{i}"), shares[1].alias(f"dwell_non_bin{i}")]
 
-    used = (F.col("start") < end_ms) & (F.col("end") > F.col("start"))
-    angled = path_angle(shown.withColumn("_used", used), "x_cent", "y_cent", screen, [*keys, "_used"])
+    # a fixation of no duration still is where the next saccade comes from
+    in_time = shown.withColumn("_in_time", F.col("start") < end_ms)
+    angled = path_angle(in_time, "x_cent", "y_cent", screen, [*keys, "_in_time"]).withColumn(
+        "_used", F.col("_in_time") & (F.col("end") > F.col("start"))
+    )
     by_start = Window.partitionBy(*keys, "_used", "_in_any").orderBy("start")
     switched = angled.withColumn("_in_any", F.col("roi") != "no ROI").withColumn(
         "_switch", F.col("_in_any") & (F.col("roi") != F.lag("roi").over(by_start))

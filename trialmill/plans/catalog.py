@@ -533,8 +533,8 @@ def _windowed(spark: SparkSession, sf: str) -> DataFrame:
     "interval_overlap_join",
     """SELECT f.subject, f.block, f.trial, f.start, f."end", w.low, w.high
        FROM (SELECT subject, block, trial, start - onset AS start, "end" - onset AS "end" FROM fixations) f
-       JOIN (SELECT subject, block, trial, l AS low, l + 150.0 AS high
-             FROM gaze_messages, (VALUES (-300.0), (-100.0), (0.0), (250.0)) AS v(l)) w
+       JOIN (SELECT subject, block, trial, l AS low, l + 150.0::DOUBLE AS high
+             FROM gaze_messages, (VALUES (-300.0::DOUBLE), (-100.0), (0.0), (250.0)) AS v(l)) w
          ON f.subject = w.subject AND f.block = w.block AND f.trial = w.trial
         AND f."end" >= w.low AND f.start <= w.high""",
 )
@@ -1446,12 +1446,13 @@ def _bin_sql(i: int, low: float, high: float) -> str:
             coalesce(min(start) FILTER (WHERE in_non), 300.0) AS ms_non,
             count(*) AS fix_n, avg(dur) AS fix_mean, sum(angle) AS scan_path
           FROM (SELECT *, least("end", 300) - start AS dur
-                FROM ({_PATH.format(x="x_cent", y="y_cent", source="(SELECT * FROM looked WHERE start > 0 AND start < 300)")}))
+                FROM ({_PATH.format(x="x_cent", y="y_cent", source="(SELECT * FROM looked WHERE start > 0 AND start < 300)")})
+                WHERE "end" > start)
           GROUP BY ALL) USING (subject, block, trial)
         LEFT JOIN (
           SELECT subject, block, trial, CAST(count(*) FILTER (WHERE roi <> prior) AS BIGINT) AS roi_switch
           FROM (SELECT *, lag(roi) OVER (PARTITION BY subject, block, trial ORDER BY start) AS prior
-                FROM looked WHERE start > 0 AND start < 300 AND roi <> 'no ROI') GROUP BY ALL)
+                FROM looked WHERE start > 0 AND start < 300 AND "end" > start AND roi <> 'no ROI') GROUP BY ALL)
           USING (subject, block, trial)
         LEFT JOIN (
           SELECT subject, block, trial, {", ".join(_bin_sql(i + 1, lo, hi) for i, (lo, hi) in enumerate(zip(views.BINS, views.BINS[1:])))}
@@ -1574,7 +1575,7 @@ def _r_sql(x: str, y: str, source: str, by: str = "", greater: bool = False, rel
     p = _p_sql("t", "df")
     tail = f"CASE WHEN t > 0 THEN {p} / 2 ELSE 1 - {p} / 2 END" if greater else p
     z = stats.Z_ONE_SIDED if greater else stats.Z_TWO_SIDED
-    high = "1.0" if greater else f"round(tanh(atanh(r) + {z} / sqrt(n - 3)), 6)"
+    high = "1.0::DOUBLE" if greater else f"round(tanh(atanh(r) + {z} / sqrt(n - 3)), 6)"
     more = ", round(2 * r / (1 + r), 6) AS rel_sb" if rel else ""
     return f"""
         SELECT {keys}round(r, 6) AS r, n, round(t, 6) AS t, df, round(tanh(atanh(r) - {z} / sqrt(n - 3)), 6) AS low,

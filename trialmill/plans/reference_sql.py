@@ -266,7 +266,7 @@ VIEWS: dict[str, str] = {
           FROM fixations) WHERE e - s > 0""",
     "valid": """
         SELECT subject, block, trial, soa, sum(dur) / soa AS valid, count(*) AS n
-        FROM exposed GROUP BY ALL""",
+        FROM exposed GROUP BY subject, block, trial, soa""",
     "baselines": """
         SELECT subject, block, trial, sum(x * w) / nullif(sum(w), 0) AS x, sum(y * w) / nullif(sum(w), 0) AS y
         FROM (SELECT *, CASE WHEN "end" - onset > -300 AND start - onset < 0
