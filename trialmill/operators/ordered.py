@@ -1,13 +1,14 @@
 """Running values over ordered rows in groups of any size.
 
 A plain window puts a whole group into one task, which fails when one group holds a large part of the
-data. Here every group with more than `TASK_ROWS` rows is cut into chunks along its order. Each chunk is
-a window partition of its own, and what a chunk needs from the chunks around it (a running total, the
-last rows before it, the first rows after it) comes from a small table with one row per chunk.
-
-Both helper tables are broadcast. Their size is bounded by the data: there are at most rows / TASK_ROWS
-large groups and about twice as many chunks, whatever the distribution of the keys. Where no group is
-large, both tables are empty, adaptive execution drops the joins, and one window over one shuffle remains.
+data. So the sizes of the groups are counted first. Where none has more than `TASK_ROWS` rows, a plain
+window over one shuffle does the work. Otherwise the large groups are cut into chunks along their order.
+Each chunk is a window partition of its own, and what a chunk needs from the chunks around it (a running
+total, the last rows before it, the first rows after it) comes from a table with one row per chunk.
+
+The count is an action: it reads the keys once, while the plan stays as small as that of a plain window.
+Both helper tables are written to the shared folder and broadcast. Their size is bounded by the data: there
+are at most rows / TASK_ROWS large groups and about twice as many chunks, whatever the distribution of keys.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from ..session import reliable_checkpoint
 
 TASK_ROWS = 4_000_000
 
@@ -71,30 +75,36 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def cut_large_groups(
+def large_groups(
     df: DataFrame, by: Sequence[str], order: Sequence[str], task_rows: int = TASK_ROWS
-) -> DataFrame:
-    """Add `_chunk`: NULL in groups that fit a task, else the number of the row's slice along the order.
+) -> DataFrame | None:
+    """Groups with more rows than a task should hold, with the width of their chunks; None without any.
 
-    Slices are equally wide in the first order column, so that equal positions stay together.
+    Chunks are equally wide in the first order column, so that equal positions stay together.
     """
     position = _position(df, order[0])
-    keys = list(by)
     large = (
-        df.groupBy(*keys)
+        df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_low"), F.max(position).alias("_high"))
         .where((F.col("_n") > task_rows) & (F.col("_high") > F.col("_low")))
         .select(
-            *[F.col(k).alias(f"_large_{k}") for k in keys],
+            *[F.col(k).alias(f"_large_{k}") for k in by],
             "_low",
             ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / F.lit(task_rows))).alias("_width"),
         )
     )
-    match = [F.col(k) == F.col(f"_large_{k}") for k in keys] or [F.lit(True)]
+    found = reliable_checkpoint(large)
+    return None if found.isEmpty() else found
+
+
+def cut_large_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], large: DataFrame) -> DataFrame:
+    """Add `_chunk`: NULL in groups that fit a task, else the number of the row's slice along the order."""
+    position = _position(df, order[0])
+    match = [F.col(k) == F.col(f"_large_{k}") for k in by] or [F.lit(True)]
     return (
         df.join(F.broadcast(large), match, "left")
         .withColumn(CHUNK, F.floor((position - F.col("_low")) / F.col("_width")))
-        .drop("_low", "_width", *[f"_large_{k}" for k in keys])
+        .drop("_low", "_width", *[f"_large_{k}" for k in by])
     )
 
 
@@ -103,51 +113,63 @@ def with_ordered(
     by: Sequence[str],
     order: Sequence[str],
     specs: Mapping[str, Spec],
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = TASK_ROWS,
 ) -> DataFrame:
     """Add one column per spec, computed over the rows of each group in a total order.
 
     `order` must rank the rows of a group without ties; its first column must be a number, a date or a
-    timestamp that is never missing.
+    timestamp that is never missing. With `task_rows=None` the groups are known to be small.
     """
-    columns = df.columns
     keys = list(by)
+    large = None if task_rows is None else large_groups(df, keys, order, task_rows)
+    if large is None:
+        return _plain(df, keys, order, specs)
+
+    columns = df.columns
     inputs = {
         f"_in_{name}": spec.value for name, spec in specs.items() if not isinstance(spec, RowNumber)
     }
-    cut = cut_large_groups(df.withColumns(inputs) if inputs else df, by, order, task_rows)
-    chunked = cut.repartition(*keys, CHUNK) if keys else cut
+    cut = cut_large_groups(df.withColumns(inputs) if inputs else df, keys, order, large)
+    chunked = cut.repartition(*keys, CHUNK)
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    local = {f"_local_{n}": _over(s, F.col(f"_in_{n}"), window, boxed=True) for n, s in specs.items()}
+    if any(isinstance(s, (Lag, Lead)) and s.offset > 1 for s in specs.values()):
+        local["_rank"] = F.row_number().over(window)
+        local["_size"] = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK))
 
-    local: dict[str, Column] = {}
-    for name, spec in specs.items():
-        value = F.col(f"_in_{name}")
-        match spec:
-            case RunningSum():
-                local[name] = F.sum(F.coalesce(value, F.lit(0))).over(upto)
-            case RowNumber():
-                local[name] = F.row_number().over(window).cast("long")
-            case LastValue(strict=strict):
-                local[name] = F.last(value, ignorenulls=True).over(before if strict else upto)
-            case Lag(offset=k):
-                local[name] = F.lag(F.struct(value), k).over(window)
-            case Lead(offset=k):
-                local[name] = F.lead(F.struct(value), k).over(window)
-    needs_rank = any(isinstance(s, (Lag, Lead)) and s.offset > 1 for s in specs.values())
-    helpers = {"_rank": F.row_number().over(window)} if needs_rank else {}
-    if any(isinstance(s, Lead) and s.offset > 1 for s in specs.values()):
-        helpers["_size"] = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK))
-
-    carried = _carry(cut, keys, list(order), specs)
-    out = chunked.withColumns({f"_local_{n}": c for n, c in local.items()} | helpers)
-    out = out.join(
+    carried = reliable_checkpoint(_carry(cut, keys, list(order), specs))
+    joined = chunked.withColumns(local).join(
         F.broadcast(carried),
         [F.col(k) == F.col(f"_carry_{k}") for k in keys] + [F.col(CHUNK) == F.col("_carry_chunk")],
         "left",
     )
-    return out.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
+    return joined.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
+
+
+def _over(spec: Spec, value: Column, window: WindowSpec, boxed: bool = False) -> Column:
+    """The spec as a window function. Boxed neighbours tell a missing value from a missing row."""
+    box = F.struct if boxed else lambda c: c
+    match spec:
+        case RunningSum():
+            upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return F.sum(F.coalesce(value, F.lit(0))).over(upto)
+        case RowNumber():
+            return F.row_number().over(window).cast("long")
+        case LastValue(strict=strict):
+            until = -1 if strict else Window.currentRow
+            return F.last(value, ignorenulls=True).over(
+                window.rowsBetween(Window.unboundedPreceding, until)
+            )
+        case Lag(offset=k):
+            return F.lag(box(value), k).over(window)
+        case Lead(offset=k):
+            return F.lead(box(value), k).over(window)
+
+
+def _plain(df: DataFrame, keys: list[str], order: Sequence[str], specs: Mapping[str, Spec]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    values = {n: F.lit(1) if isinstance(s, RowNumber) else s.value for n, s in specs.items()}
+    return df.select("*", *[_over(s, values[n], window).alias(n) for n, s in specs.items()])
 
 
 def _combine(name: str, spec: Spec) -> Column:

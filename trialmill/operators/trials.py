@@ -65,9 +65,10 @@ def trial_events(log: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
         {"_in_block": RunningSum(start), "_before": Lag(F.col("event"))},
     )
     blocks = events.groupBy("subject", "block").agg(F.sum(start).alias("_trials"))
-    earlier = with_ordered(blocks, ["subject"], ["block"], {"_upto": RunningSum(F.col("_trials"))}).select(
-        "subject", "block", (F.col("_upto") - F.col("_trials")).alias("_earlier")
-    )
+    # a subject has a handful of blocks
+    earlier = with_ordered(
+        blocks, ["subject"], ["block"], {"_upto": RunningSum(F.col("_trials"))}, task_rows=None
+    ).select("subject", "block", (F.col("_upto") - F.col("_trials")).alias("_earlier"))
     repeated = (F.col("event") == "Response") & F.coalesce(F.col("_before") == "Response", F.lit(False))
     return (
         counted.where((F.col("_in_block") > 0) & ~repeated)
