@@ -112,7 +112,8 @@ def trim_values(
     while n > stop:
         lows, highs = kept & low_side, kept & high_side
         if not lows.any() or not highs.any():
-            return kept, False
+            # with nothing dropped yet, one empty side means that all values are equal
+            return kept, bool(kept.all())
         lo = int(np.flatnonzero(lows)[np.argmin(shifted[lows])])
         hi = int(np.flatnonzero(highs)[np.argmax(shifted[highs])])
         if mode == "spread":
