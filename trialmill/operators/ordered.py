@@ -76,7 +76,7 @@ def _position(df: DataFrame, column: str) -> Column:
 
 
 def large_groups(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], task_rows: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], task_rows: int
 ) -> DataFrame | None:
     """Groups with more rows than a task should hold, with the width of their chunks; None without any.
 
@@ -113,15 +113,17 @@ def with_ordered(
     by: Sequence[str],
     order: Sequence[str],
     specs: Mapping[str, Spec],
-    task_rows: int | None = TASK_ROWS,
+    task_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add one column per spec, computed over the rows of each group in a total order.
 
     `order` must rank the rows of a group without ties; its first column must be a number, a date or a
-    timestamp that is never missing. With `task_rows=None` the groups are known to be small.
+    timestamp that is never missing. `task_rows` defaults to `TASK_ROWS`; with `bounded` the groups are
+    known to be small and are not counted.
     """
     keys = list(by)
-    large = None if task_rows is None else large_groups(df, keys, order, task_rows)
+    large = None if bounded else large_groups(df, keys, order, task_rows or TASK_ROWS)
     if large is None:
         return _plain(df, keys, order, specs)
 

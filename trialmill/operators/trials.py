@@ -67,7 +67,7 @@ def trial_events(log: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     blocks = events.groupBy("subject", "block").agg(F.sum(start).alias("_trials"))
     # a subject has a handful of blocks
     earlier = with_ordered(
-        blocks, ["subject"], ["block"], {"_upto": RunningSum(F.col("_trials"))}, task_rows=None
+        blocks, ["subject"], ["block"], {"_upto": RunningSum(F.col("_trials"))}, bounded=True
     ).select("subject", "block", (F.col("_upto") - F.col("_trials")).alias("_earlier"))
     repeated = (F.col("event") == "Response") & F.coalesce(F.col("_before") == "Response", F.lit(False))
     return (

@@ -64,7 +64,7 @@ def parse_sequences(lines: DataFrame) -> DataFrame:
     )
     in_block = with_ordered(rows, ["subject", "block"], ["line"], {"_row": RowNumber()})
     sizes = rows.groupBy("subject", "block").agg(F.count(F.lit(1)).alias("_size"))
-    summed = with_ordered(sizes, ["subject"], ["block"], {"_upto": RunningSum(F.col("_size"))}, task_rows=None)
+    summed = with_ordered(sizes, ["subject"], ["block"], {"_upto": RunningSum(F.col("_size"))}, bounded=True)
     offsets = summed.select("subject", "block", (F.col("_upto") - F.col("_size")).alias("_offset"))
     return (
         in_block.join(offsets, ["subject", "block"])
