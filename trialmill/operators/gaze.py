@@ -163,8 +163,9 @@ def gaze_runs(
         .agg(
             F.min(t).alias("start"),
             F.max(t).alias("end"),
-            F.avg("x").alias("x"),
-            F.avg("y").alias("y"),
+            # without the last bits, which depend on the order of rows
+            F.round(F.avg("x"), 9).alias("x"),
+            F.round(F.avg("y"), 9).alias("y"),
             F.min_by("_before", t).alias("_from"),
             F.max_by("_after", t).alias("_to"),
             F.max("blink").alias("blink"),

@@ -20,9 +20,9 @@ def correct_baseline(
     Trials without a valid baseline take the mean of the valid ones. Baselines are rounded to 0.1 pixel.
     """
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    means = baselines.groupBy(*subject_keys).agg(
-        F.avg(F.when(ok, F.col("x"))).alias("_mean_x"), F.avg(F.when(ok, F.col("y"))).alias("_mean_y")
-    )
+    # rounded first, so that the order of rows in the mean cannot tip the rounding below
+    mean = lambda c: F.round(F.avg(F.when(ok, F.col(c))), 9)
+    means = baselines.groupBy(*subject_keys).agg(mean("x").alias("_mean_x"), mean("y").alias("_mean_y"))
     own = baselines.where(ok).select(*keys, F.col("x").alias("_own_x"), F.col("y").alias("_own_y"))
     joined = fixations.join(own, list(keys), "left").join(means, list(subject_keys), "left")
     return joined.withColumns(

@@ -251,7 +251,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, {_LAST_FLAG} AS last_t, {_NEXT_FLAG} AS next_t FROM flags)""",
     "runs": """
         SELECT subject, block, trial, run, saccade, min(time) AS start, max(time) AS "end",
-          avg(x) AS x, avg(y) AS y, arg_min({'x': px, 'y': py}, time) AS origin,
+          round(avg(x), 9) AS x, round(avg(y), 9) AS y, arg_min({'x': px, 'y': py}, time) AS origin,
           arg_max({'x': nx, 'y': ny}, time) AS target, bool_or(blink) AS blink,
           bool_or(pt IS NULL OR nt IS NULL) AS at_edge, count(*) AS samples
         FROM islands GROUP BY ALL""",
@@ -268,7 +268,8 @@ VIEWS: dict[str, str] = {
         SELECT subject, block, trial, soa, sum(dur) / soa AS valid, count(*) AS n
         FROM exposed GROUP BY subject, block, trial, soa""",
     "baselines": """
-        SELECT subject, block, trial, sum(x * w) / nullif(sum(w), 0) AS x, sum(y * w) / nullif(sum(w), 0) AS y
+        SELECT subject, block, trial, round(sum(x * w) / nullif(sum(w), 0), 9) AS x,
+          round(sum(y * w) / nullif(sum(w), 0), 9) AS y
         FROM (SELECT *, CASE WHEN "end" - onset > -300 AND start - onset < 0
                 THEN least("end" - onset, 0) - greatest(start - onset, -300) END AS w FROM fixations)
         GROUP BY ALL""",
@@ -293,7 +294,7 @@ VIEWS: dict[str, str] = {
           f.x - round_even(coalesce(o.x, m.x), 1) AS x_cent, f.y - round_even(coalesce(o.y, m.y), 1) AS y_cent
         FROM fixations f
         LEFT JOIN (SELECT * FROM flagged_baselines WHERE ok) o USING (subject, block, trial)
-        LEFT JOIN (SELECT subject, block, avg(x) AS x, avg(y) AS y FROM flagged_baselines WHERE ok GROUP BY ALL) m
+        LEFT JOIN (SELECT subject, block, round(avg(x), 9) AS x, round(avg(y), 9) AS y FROM flagged_baselines WHERE ok GROUP BY ALL) m
           USING (subject, block)""",
     "looked": f"""
         SELECT *, CASE WHEN in_roi THEN 'diagnostic' WHEN in_non THEN 'non-diagnostic' ELSE 'no ROI' END AS roi
