@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TRIAL = ("subject", "block", "trial")
 
@@ -286,20 +287,22 @@ def detect_dispersion(
         + [T.StructField(n, T.DoubleType()) for n in names[1:7]]
         + [T.StructField("blink", T.BooleanType())]
     )
+    arrow = to_arrow_schema(schema)
 
-    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
+    def scan(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by(time)
+        column = lambda c: table.column(c).to_numpy()
         found = dispersion_events(
-            pdf[time].to_numpy(dtype=float),
-            pdf["x"].fillna(0.0).to_numpy(dtype=float),
-            pdf["y"].fillna(0.0).to_numpy(dtype=float),
-            pdf["blink"].to_numpy(dtype=bool),
+            column(time).astype(float),
+            np.nan_to_num(column("x").astype(float)),
+            np.nan_to_num(column("y").astype(float)),
+            column("blink").astype(bool),
             amplitude,
             min_ms,
             max_disp,
         )
-        out = pd.DataFrame([(*key, *row) for row in found], columns=[*keys, *names])
-        out["blink"] = out["blink"].astype("boolean")
-        return out
+        own = {k: [v.as_py()] * len(found) for k, v in zip(keys, key)}
+        events = dict(zip(names, zip(*found) if found else [()] * len(names)))
+        return pa.table({**own, **events}, schema=arrow)
 
-    return samples.select(*keys, time, "x", "y", "blink").groupBy(*keys).applyInPandas(scan, schema)
+    return samples.select(*keys, time, "x", "y", "blink").groupBy(*keys).applyInArrow(scan, schema)

@@ -16,7 +16,7 @@ from ..operators import statistics as stats
 from ..operators import summaries as summ
 from ..operators import trials
 from ..operators.ordered import RowNumber, with_ordered
-from ..session import new_path
+from ..session import new_path, reliable_checkpoint
 from ..sources import logs, tables
 from . import views
 from .reference_sql import with_views
@@ -29,6 +29,14 @@ SQL: dict[str, str] = {}
 TRIAL = ["subject", "block", "trial"]
 
 
+def staged_fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixations as a stored stage, for plans that read them more than once.
+
+    Detection is the costly part, and a trial's few fixations are small next to its samples.
+    """
+    return reliable_checkpoint(views.fixations(spark, sf_dir))
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Fractions rounded to six decimals, since sums depend on the order of rows in the last bits."""
     return df.select(
@@ -777,7 +785,7 @@ def _(spark, sf):
            USING (subject))""",
 )
 def _(spark, sf):
-    f = views.fixations(spark, sf)
+    f = staged_fixations(spark, sf)
     return summ.retention(fixations.valid_time(fixations.exposure_fixations(f)), f, trials=40)
 
 
@@ -927,7 +935,7 @@ def _(spark, sf):
        round((valid * ((SELECT count(*) FROM valid) - 1) + 0.5) / (SELECT count(*) FROM valid), 6) AS valid FROM valid""",
 )
 def _(spark, sf):
-    v = fixations.valid_time(fixations.exposure_fixations(views.fixations(spark, sf)))
+    v = fixations.valid_time(fixations.exposure_fixations(staged_fixations(spark, sf)))
     return summ.unit_squeeze(v, "valid", per_block=20).select("subject", "block", "trial", "soa", "valid")
 
 
@@ -1373,14 +1381,14 @@ def _(spark, sf):
              FROM gaze_messages GROUP BY ALL) GROUP BY block) USING (block)""",
 )
 def _(spark, sf):
-    return fixations.baseline_summary(_flagged(spark, sf), views.gaze_messages(spark, sf)).select(
+    return fixations.baseline_summary(_flag(_baselines(spark, sf)), views.gaze_messages(spark, sf)).select(
         "subject", "block", "n_valid", "n_trials", "invalid", "missing", "sd_x", "sd_y", "range_x", "range_y", "included"
     )
 
 
-def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+def _flag(baselines: DataFrame) -> DataFrame:
     """Baselines with a flag SQL can state."""
-    return _baselines(spark, sf).withColumn("ok", F.col("x").isNotNull() & (F.col("trial") % 7 != 0))
+    return baselines.withColumn("ok", F.col("x").isNotNull() & (F.col("trial") % 7 != 0))
 
 
 @query("baseline_validation")
@@ -1411,8 +1419,10 @@ def _(spark, sf):
 
 
 def _roi_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    fix = views.fixations(spark, sf).withColumn("roi_id", (F.col("trial") % 2).cast("int"))
-    return fix, _flagged(spark, sf), views.masks(spark, sf)
+    fix = staged_fixations(spark, sf)
+    base = fixations.trial_baseline(fix, views.gaze_messages(spark, sf))
+    shown = fix.withColumn("roi_id", (F.col("trial") % 2).cast("int"))
+    return shown, _flag(base), views.masks(spark, sf)
 
 
 def _bin_sql(i: int, low: float, high: float) -> str:
@@ -1479,7 +1489,7 @@ def _(spark, sf):
 
 
 def _decline(spark: SparkSession, sf: str) -> DataFrame:
-    v = fixations.valid_time(fixations.exposure_fixations(views.fixations(spark, sf)))
+    v = fixations.valid_time(fixations.exposure_fixations(staged_fixations(spark, sf)))
     return fixations.valid_decline(v, exclude=["b1"], per_block=20)
 
 
