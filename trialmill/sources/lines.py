@@ -29,29 +29,35 @@ def list_inputs(spark: SparkSession, path: str, include: str = "*", excludes: Se
     return raw
 
 
-def read_lines(
-    spark: SparkSession, path: str, include: str = "*", excludes: Sequence[str] = (), skip: int = 0
-) -> DataFrame:
+def place_lines(raw: DataFrame, skip: int = 0) -> DataFrame:
     """Columns `file`, `code`, `line` (position, growing within the file) and `text`.
 
-    The first `skip` lines of each file are left out.
+    The first `skip` lines of each file are left out. Lines that are not needed should be filtered before:
+    the table of splits is small, but where it is too large to broadcast the lines are shuffled.
     """
-    raw = list_inputs(spark, path, include, excludes).withColumn("_id", F.monotonically_increasing_id())
+    numbered = raw.withColumn("_id", F.monotonically_increasing_id())
     # rows of a split are consecutive, so its lowest id marks its first line
-    splits = raw.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_at")).agg(
+    splits = numbered.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_at")).agg(
         F.min("_id").alias("_first")
     )
-    placed = raw.join(splits, (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_at")))
+    placed = numbered.join(splits, (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_at")))
     place = F.col("_id") - F.col("_first")
     header = (F.col("_split") == 0) & (place < skip)
     return placed.where(~header).select(
-        F.col("file"),
+        "file",
         file_code(F.col("file")).alias("code"),
         (F.col("_split") * 2 + place).alias("line"),
         F.regexp_replace("text", "\r$", "").alias("text"),
     )
 
 
+def read_lines(
+    spark: SparkSession, path: str, include: str = "*", excludes: Sequence[str] = (), skip: int = 0
+) -> DataFrame:
+    """Placed lines of the files that match, without the first `skip` lines of each."""
+    return place_lines(list_inputs(spark, path, include, excludes), skip)
+
+
 def field(parts: Column, i: int) -> Column:
     """Part of a split line; NULL when the line is too short or the part is empty."""
     value = F.get(parts, F.lit(i))

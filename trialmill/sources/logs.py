@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import file_code, paradigm_of
 from ..operators.gaze import FIELDS
 from ..operators.ordered import RowNumber, RunningSum, with_ordered
-from .lines import field, read_lines
+from .lines import field, list_inputs, place_lines, read_lines
 
 # Files that hold no usable recording.
 SKIP_LOGS = ("_0", "Pre.log")
@@ -140,21 +140,24 @@ GAZE_COLUMNS = {
 
 
 def _gaze_rows(lines: DataFrame, kind: str) -> DataFrame:
-    tokens = F.split(F.trim("text"), r"\s+")
+    """Rows of one kind, with the session and the time; header lines are of no kind."""
     session = F.split("code", "_")
-    return lines.withColumn("_tokens", tokens).where(F.get("_tokens", F.lit(1)) == kind).select(
-        F.get(session, F.lit(0)).alias("subject"),
-        F.get(session, F.lit(1)).try_cast("int").alias("block"),
-        F.get("_tokens", F.lit(0)).try_cast("long").alias("time"),
-        "_tokens",
-        "line",
+    return (
+        lines.withColumn("_tokens", F.split(F.trim("text"), r"\s+"))
+        .where(F.get("_tokens", F.lit(1)) == kind)
+        .withColumns(
+            {
+                "subject": F.get(session, F.lit(0)),
+                "block": F.get(session, F.lit(1)).try_cast("int"),
+                "time": F.get("_tokens", F.lit(0)).try_cast("long"),
+            }
+        )
     )
 
 
 def parse_gaze(lines: DataFrame) -> DataFrame:
-    """Sample rows of the gaze export; short rows are padded with NULL."""
-    rows = _gaze_rows(lines, "SMP")
-    return rows.select(
+    """Sample rows of the gaze export; short rows are padded with NULL. Needs no line positions."""
+    return _gaze_rows(lines, "SMP").select(
         "subject",
         "block",
         "time",
@@ -174,13 +177,17 @@ def gaze_messages(lines: DataFrame) -> DataFrame:
     return with_ordered(rows, ["subject", "block"], ["line"], {"trial": RowNumber()}).drop("line")
 
 
-def gaze_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of gaze exports, 38 header lines skipped; the session is the name up to the last blank."""
-    lines = read_lines(spark, path, "*.txt", skip=38)
+def _session_code(lines: DataFrame) -> DataFrame:
+    """The session is the file name up to its last blank."""
     return lines.withColumn("code", file_code(F.regexp_replace("file", "%20", " "), "/", " "))
 
 
 def scan_gaze(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Samples and messages of all gaze exports."""
-    lines = gaze_lines(spark, path)
-    return parse_gaze(lines), gaze_messages(lines)
+    """Samples and messages of all gaze exports.
+
+    Samples, the bulk of the data, are told from the 38 header lines by their kind and ordered by their
+    time, so they are read in one pass without a shuffle. Only messages get line positions.
+    """
+    raw = list_inputs(spark, path, "*.txt")
+    messages = place_lines(raw.where(F.col("text").rlike(r"^\s*\S+\s+MSG(\s|$)")))
+    return parse_gaze(_session_code(raw)), gaze_messages(_session_code(messages))
