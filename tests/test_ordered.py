@@ -6,7 +6,16 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialmill.operators.ordered import Lag, LastValue, Lead, RowNumber, RunningSum, with_ordered
+from trialmill.operators.ordered import (
+    Lag,
+    LastValue,
+    Lead,
+    RowNumber,
+    RunningSum,
+    cut_large_groups,
+    large_groups,
+    with_ordered,
+)
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +60,7 @@ def all_specs():
     }
 
 
-@pytest.mark.parametrize("task_rows", [1, 7, 50, 10_000])
+@pytest.mark.parametrize("task_rows", [7, 50, 10_000])
 def test_matches_plain_windows(table, task_rows):
     got = with_ordered(table, ["k"], ["t", "i"], all_specs(), task_rows=task_rows)
     assert sorted(map(str, got.collect())) == sorted(map(str, plain(table).collect()))
@@ -68,3 +77,17 @@ def test_single_step_specs(table, task_rows):
 def test_without_groups(table):
     got = with_ordered(table, [], ["t", "i"], {"rn": RowNumber()}, task_rows=40)
     assert [r.rn for r in got.orderBy("t", "i").collect()] == list(range(1, 402))
+
+
+def test_uneven_positions_are_cut_again(spark):
+    rng = random.Random(5)
+    data = [("k", float(round(10 ** rng.uniform(0, 9))), i) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, t double, i long")
+    large = large_groups(df, ["k"], ["t", "i"], 20)
+    cut = cut_large_groups(df, ["k"], ["t", "i"], large, 20).cache()
+    sizes = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
+    found = sizes.orderBy("_chunk").collect()
+    assert max(r.n for r in found) <= 20
+    assert all(x.b < y.a for x, y in zip(found, found[1:]))
+    got = with_ordered(df, ["k"], ["t", "i"], {"rn": RowNumber()}, task_rows=20)
+    assert [r.rn for r in got.orderBy("t", "i").collect()] == list(range(1, 301))

@@ -8,7 +8,8 @@ total, the last rows before it, the first rows after it) comes from a table with
 
 The count is an action: it reads the keys once, while the plan stays as small as that of a plain window.
 Both helper tables are written to the shared folder and broadcast. Their size is bounded by the data: there
-are at most rows / TASK_ROWS large groups and about twice as many chunks, whatever the distribution of keys.
+are at most rows / TASK_ROWS large groups, and chunks are cut only from more than TASK_ROWS rows, whatever
+the distribution of keys and positions.
 """
 
 from __future__ import annotations
@@ -97,15 +98,35 @@ def large_groups(
     return None if found.isEmpty() else found
 
 
-def cut_large_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], large: DataFrame) -> DataFrame:
-    """Add `_chunk`: NULL in groups that fit a task, else the number of the row's slice along the order."""
+def cut_large_groups(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], large: DataFrame, task_rows: int
+) -> DataFrame:
+    """Add `_chunk`: NULL in groups that fit a task, else the place of the row's slice along the order.
+
+    Positions may be uneven, so slices that are still too large are cut again, and the place gets one
+    number more. Places sort like the rows in them.
+    """
     position = _position(df, order[0])
-    match = [F.col(k) == F.col(f"_large_{k}") for k in by] or [F.lit(True)]
-    return (
-        df.join(F.broadcast(large), match, "left")
-        .withColumn(CHUNK, F.floor((position - F.col("_low")) / F.col("_width")))
-        .drop("_low", "_width", *[f"_large_{k}" for k in by])
-    )
+    place = F.floor((position - F.col("_low")) / F.col("_width"))
+    if by:
+        match = [F.col(k) == F.col(f"_large_{k}") for k in by]
+        found = df.join(F.broadcast(large), match, "left")
+    else:
+        bounds = large.first()
+        found = df.withColumns({"_low": F.lit(bounds["_low"]), "_width": F.lit(bounds["_width"])})
+    cut = found.withColumn(CHUNK, F.when(F.col("_width").isNotNull(), F.array(place)))
+    cut = cut.drop("_low", "_width", *[f"_large_{k}" for k in by])
+
+    keys = [*by, CHUNK]
+    while (over := large_groups(cut.where(F.col(CHUNK).isNotNull()), keys, order, task_rows)) is not None:
+        match = [F.col(k) == F.col(f"_large_{k}") for k in keys]
+        finer = F.when(F.col("_width").isNotNull(), F.array_append(CHUNK, place)).otherwise(F.col(CHUNK))
+        cut = (
+            cut.join(F.broadcast(over), match, "left")
+            .withColumn(CHUNK, finer)
+            .drop("_low", "_width", *[f"_large_{k}" for k in keys])
+        )
+    return cut
 
 
 def with_ordered(
@@ -123,7 +144,8 @@ def with_ordered(
     known to be small and are not counted.
     """
     keys = list(by)
-    large = None if bounded else large_groups(df, keys, order, task_rows or TASK_ROWS)
+    task_rows = task_rows or TASK_ROWS
+    large = None if bounded else large_groups(df, keys, order, task_rows)
     if large is None:
         return _plain(df, keys, order, specs)
 
@@ -131,7 +153,7 @@ def with_ordered(
     inputs = {
         f"_in_{name}": spec.value for name, spec in specs.items() if not isinstance(spec, RowNumber)
     }
-    cut = cut_large_groups(df.withColumns(inputs) if inputs else df, keys, order, large)
+    cut = cut_large_groups(df.withColumns(inputs) if inputs else df, keys, order, large, task_rows)
     chunked = cut.repartition(*keys, CHUNK)
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     local = {f"_local_{n}": _over(s, F.col(f"_in_{n}"), window, boxed=True) for n, s in specs.items()}
