@@ -15,6 +15,11 @@ def test_session_trial(spark):
     assert rows(fixations.session_trial(df).select("subject", "block", "trial")) == [("a05", 1, 3), ("a05", 2, 291)]
 
 
+def test_flip(spark):
+    df = spark.createDataFrame([(1.0, 200.0)], "x double, y double")
+    assert rows(fixations.flip_y(df)) == [(1.0, 1000.0)]
+
+
 @pytest.mark.parametrize(
     "subject,text,side,kind,congruency",
     [

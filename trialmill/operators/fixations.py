@@ -30,6 +30,11 @@ def session_trial(df: DataFrame, per_block: int = 288, session: str = "session",
     ).drop(session)
 
 
+def flip_y(fixations: DataFrame, screen: Screen = NOMINAL) -> DataFrame:
+    """Vertical positions counted from the bottom of the screen instead of the top."""
+    return fixations.withColumn("y", F.lit(float(screen.height_px)) - F.col("y"))
+
+
 def message_conditions(messages: DataFrame, text: str = "text") -> DataFrame:
     """Pictures, targets and sides from the message text.
 

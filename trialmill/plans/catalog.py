@@ -1398,6 +1398,11 @@ def _(spark, sf):
     return fixations.baseline_summary(ok, views.gaze_messages(spark, sf))
 
 
+@query("flip_y", 'SELECT subject, block, trial, start, round(1200 - y, 6) AS y FROM fixations')
+def _(spark, sf):
+    return fixations.flip_y(views.fixations(spark, sf)).select(*TRIAL, "start", "y")
+
+
 @query("roi_side", 'SELECT subject, block, trial, start, roi_side, roi FROM sided')
 def _(spark, sf):
     return fixations.roi_side(views.fixations(spark, sf)).select(*TRIAL, "start", "roi_side", "roi")
