@@ -1346,12 +1346,42 @@ def _baselines(spark: SparkSession, sf: str) -> DataFrame:
     return fixations.trial_baseline(views.fixations(spark, sf), messages)
 
 
-@query("reject_outlier_points")
+def _trim_sql(source: str, stop: int, limit: str) -> str:
+    """Points kept when the farthest from the centre is dropped while it lies beyond the limit."""
+    mean = lambda c: f"list_avg(list_transform(pts, lambda p: p.{c}))"
+    return f"""
+        (WITH RECURSIVE steps AS (
+           SELECT subject, block, list({{'t': trial, 'x': x, 'y': y}} ORDER BY trial) AS pts, false AS done
+           FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY subject, block
+           UNION ALL
+           SELECT subject, block, CASE WHEN gone THEN list_concat(pts[:far - 1], pts[far + 1:]) ELSE pts END, NOT gone
+           FROM (SELECT *, len(pts) > {stop} AND d[far] > {limit} AS gone
+                 FROM (SELECT *, list_concat(d[:far - 1], d[far + 1:]) AS others
+                       FROM (SELECT *, list_position(d, list_max(d)) AS far
+                             FROM (SELECT *, list_transform(pts, lambda p: sqrt((p.x - cx) * (p.x - cx)
+                                            + (p.y - cy) * (p.y - cy))) AS d
+                                   FROM (SELECT *, {mean("x")} AS cx, {mean("y")} AS cy FROM steps
+                                         WHERE NOT done)))))
+         ) SELECT subject, block, unnest(pts).t AS trial, true AS kept FROM steps WHERE done)"""
+
+
+_BEYOND_Z = "list_avg(others) + 3 * list_aggregate(others, 'stddev_samp')"
+_KEPT = _trim_sql("baselines", 3, _BEYOND_Z)
+_CLOSE = _trim_sql(f"(SELECT * FROM baselines SEMI JOIN {_KEPT} k USING (subject, block, trial))", 2, "75")
+
+
+def _kept_sql(kept: str, digits: int = 6) -> str:
+    return f"""
+        SELECT subject, block, trial, round(x, {digits}) AS x, round(y, {digits}) AS y, coalesce(kept, false) AS ok
+        FROM baselines LEFT JOIN {kept} k USING (subject, block, trial)"""
+
+
+@query("reject_outlier_points", _kept_sql(_KEPT))
 def _(spark, sf):
     return outliers.reject_outlier_points(_baselines(spark, sf), "x", "y")
 
 
-@query("reject_spread_points")
+@query("reject_spread_points", _kept_sql(_CLOSE))
 def _(spark, sf):
     return outliers.reject_spread_points(
         outliers.reject_outlier_points(_baselines(spark, sf), "x", "y"), "x", "y", spread=150.0
@@ -1366,9 +1396,8 @@ def _(spark, sf):
     return outliers.reject_outlier_values(out, "x", mode="abs", limit=100.0, name="ok_abs")
 
 
-@query(
-    "baseline_summary",
-    """SELECT subject, block, CAST(n_valid AS BIGINT) AS n_valid, n_trials, round(1 - n_valid / n_trials, 6) AS invalid,
+def _summary_sql(flagged: str) -> str:
+    return f"""SELECT subject, block, CAST(n_valid AS BIGINT) AS n_valid, n_trials, round(1 - n_valid / n_trials, 6) AS invalid,
        round((n_trials - present) / n_trials, 6) AS missing, round(sd_x, 6) AS sd_x, round(sd_y, 6) AS sd_y,
        round(range_x, 6) AS range_x, round(range_y, 6) AS range_y,
        1 - n_valid / n_trials <= 0.5 AND range_x <= 150 AND range_y <= 150 AS included
@@ -1376,10 +1405,12 @@ def _(spark, sf):
                stddev_samp(x) FILTER (WHERE ok) AS sd_x, stddev_samp(y) FILTER (WHERE ok) AS sd_y,
                max(x) FILTER (WHERE ok) - min(x) FILTER (WHERE ok) AS range_x,
                max(y) FILTER (WHERE ok) - min(y) FILTER (WHERE ok) AS range_y
-             FROM flagged_baselines GROUP BY ALL)
+             FROM {flagged} GROUP BY ALL)
        JOIN (SELECT block, max(span) AS n_trials FROM (SELECT subject, block, max(trial) - min(trial) + 1 AS span
-             FROM gaze_messages GROUP BY ALL) GROUP BY block) USING (block)""",
-)
+             FROM gaze_messages GROUP BY ALL) GROUP BY block) USING (block)"""
+
+
+@query("baseline_summary", _summary_sql("flagged_baselines"))
 def _(spark, sf):
     return fixations.baseline_summary(_flag(_baselines(spark, sf)), views.gaze_messages(spark, sf)).select(
         "subject", "block", "n_valid", "n_trials", "invalid", "missing", "sd_x", "sd_y", "range_x", "range_y", "included"
@@ -1391,11 +1422,13 @@ def _flag(baselines: DataFrame) -> DataFrame:
     return baselines.withColumn("ok", F.col("x").isNotNull() & (F.col("trial") % 7 != 0))
 
 
-@query("baseline_validation")
+@query("baseline_validation", _summary_sql(f"({_kept_sql(_CLOSE, 12)})"))
 def _(spark, sf):
     base = outliers.reject_outlier_points(_baselines(spark, sf), "x", "y")
     ok = outliers.reject_spread_points(base, "x", "y", spread=150.0)
-    return fixations.baseline_summary(ok, views.gaze_messages(spark, sf))
+    return fixations.baseline_summary(ok, views.gaze_messages(spark, sf)).select(
+        "subject", "block", "n_valid", "n_trials", "invalid", "missing", "sd_x", "sd_y", "range_x", "range_y", "included"
+    )
 
 
 @query("flip_y", 'SELECT subject, block, trial, start, round(1200 - y, 6) AS y FROM fixations')
