@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_prefix, html_blocks, line_templates, mixing, ngram_trie, pivot_table, toxicity, url_terms, vp_trees
 from .shared import table
+from .sql import SQL  # noqa: F401
 
 #: Vocabulary of the tokenizer.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
