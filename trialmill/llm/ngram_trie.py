@@ -1,8 +1,11 @@
 """N-gram Jaccard join with prefix trees.
 
 Documents are sets of word n-grams in one global order, rare grams first. Two sets can only be similar enough if
-they share one of the first few grams of each; such shared grams lead sets to a common cluster. Inside a cluster
-the sets stand in a trie, frequent grams first, so that similar sets share long paths. Every set is walked down
+they share one of the first few grams of each; such shared grams lead sets to a common cluster. The order comes in
+two steps. A table of counts of fixed size tells very frequent grams, and gives each set a head somewhat longer
+than needed: heads of sets that link share several grams. Exact counts are then made of the grams of heads only,
+and the rarest of a head, as many as at least one shared gram must be among, decide. Inside a cluster the sets
+stand in a trie, frequent grams first, so that similar sets share long paths. Every set is walked down
 the trie: what it shares with a path is counted once for all sets below, and a subtree is left as soon as the
 remaining lengths can't give the overlap that a link needs. Large clusters are cut into blocks, and each pair of
 blocks is joined in a task of its own.
@@ -123,6 +126,11 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _node():
+    """A set's name: a hash of its signature."""
+    return F.xxhash64("s1", "s2")
+
+
 def _columns(*columns) -> list[pa.Array]:
     return [pa.array(values, kind) for values, kind in columns]
 
@@ -161,24 +169,59 @@ def _ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.lexsort((grams, counts[(grams & _U(BUCKETS - 1)).astype(np.int64)]))]
 
 
-class _Prefixes:
-    """Second pass: the first grams of every set in the global order, as many as a link needs."""
+def _needed(n: int, least: tuple[int, int]) -> int:
+    """Grams at the start of a set of n that must hold one of any set it links with."""
+    top, bottom = least
+    return n - -(-top * n // bottom) + 1
+
+
+class _Heads:
+    """Second pass: the head of every set in the order of the table of counts."""
 
     def __init__(self, words: int, least: tuple[int, int], counts):
         self.words, self.least, self.counts = words, least, counts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(self.counts.value), np.int64)
-        top, bottom = self.least
         for part in slices(batches, 2_000):
             rows = []
-            for doc, grams in zip(part.column(0).to_pylist(), gram_sets(part.column(1), self.words)):
+            for grams in gram_sets(part.column(0), self.words):
                 if len(grams):
-                    n = len(grams) - -(-top * len(grams) // bottom) + 1
-                    rows.append((doc, *_signature(grams), _ranked(grams, counts)[:n].view(np.int64)))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+                    n = _needed(len(grams), self.least)
+                    rows.append((*_signature(grams), n, _ranked(grams, counts)[: n + n // 3].view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             columns = _columns(*zip(zip(*rows), kinds)) if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "needed", "head"])
+
+
+def _candidate_pairs(texts: DataFrame, words: int, least: tuple[int, int], counts) -> DataFrame:
+    """Edges (`a`, `b`) between sets that connect all pairs that can link.
+
+    A head has n needed grams and c = n // 3 more, so heads of linked sets share c + 1 grams or more. Order the
+    grams of a head by (in one set only or in several, count, gram): the first shared gram is among the first n
+    of both heads. Two more cover what rounding may cost where sizes differ. Grams of one set come first and lead
+    nowhere; so most documents have no gram that leads to another.
+    """
+    heads = stage(texts.select("text").mapInArrow(_Heads(words, least, counts), "s1 long, s2 long, needed int, head array<long>"))
+    heads = heads.select(_node().alias("node"), "needed", F.size("head").alias("length"), "head")
+    postings = heads.select("node", "needed", "length", F.explode("head").alias("gram"))
+    # counts are combined before the shuffle, so copies and frequent grams are no hot keys
+    shared = (
+        postings.groupBy("gram")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("times"))
+        .where("low < high")
+        .select("gram", "times")
+    )
+    several = (
+        postings.join(shared, "gram")
+        .groupBy("node", "needed", "length")
+        .agg(F.collect_set(F.struct("times", "gram")).alias("several"))
+    )
+    room = F.col("needed") + 2 - (F.col("length") - F.size("several"))
+    leading = several.where(room > 0).select("node", F.explode(F.slice(F.array_sort("several"), F.lit(1), room)).alias("g"))
+    leading = stage(leading.select("node", F.col("g.gram").alias("gram")))
+    lowest = leading.groupBy("gram").agg(F.min("node").alias("a"))
+    return leading.join(lowest, "gram").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 class _Sets:
@@ -364,9 +407,10 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     rows with one id and different sets are documents of their own. A null id gets no row. Extra columns are
     ignored; an empty table gives no rows. Texts are read whole. Grams are 64-bit hashes.
 
-    Texts are read three times and never shuffled. What is shuffled: a signature per document, the first grams
-    of each distinct set (1 - top/bottom of them), and the whole sets of clusters only. The table of counts and
-    the filter have fixed sizes; if the filter fills up it spares nothing, and the join after it still decides.
+    `least` must be one half or more. Texts are read three times and never shuffled. What is shuffled: a
+    signature per document, the heads (4/3 * (1 - top/bottom) of the grams, twice) and the whole sets of clusters
+    only. The table of counts and the filter have fixed sizes; if the filter fills up it spares nothing, and the
+    join after it still decides.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -382,18 +426,8 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
 
     nodes = members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     nodes = stage(nodes)
-    mine = nodes.select(F.col("node").alias("doc_id"), "s1", "s2")
-
-    prefixes = texts.mapInArrow(_Prefixes(words, least, counts), "doc_id long, s1 long, s2 long, prefix array<long>")
-    # two sets of one document id are two nodes; the signature names a node, the id only makes it readable
-    own = F.xxhash64("s1", "s2")
-    postings = prefixes.join(mine, ["doc_id", "s1", "s2"], "left_semi").select(own.alias("node"), F.explode("prefix").alias("gram"))
-    postings = stage(postings)
-    grams = postings.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b")
-    grams = stage(grams)
-    pairs = grams.select("a", "b").distinct()
-    more = postings.join(grams.where("k > 2").select("gram", "a"), "gram").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    clusters = stage(components(pairs.unionByName(more)))
+    own = _node()
+    clusters = stage(components(_candidate_pairs(texts, words, least, counts)))
 
     of = nodes.select(F.col("node").alias("doc_id"), "s1", "s2", "n", own.alias("key")).join(clusters.withColumnRenamed("node", "key"), "key")
     mass = of.groupBy("component").agg(F.sum("n").alias("mass"))
