@@ -31,8 +31,9 @@ def word_count(text: Column) -> Column:
 
 
 def place_of(doc_id: Column) -> Column:
-    """The document's place: the upper bits of a hash of its id."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string")), 64 - BITS)
+    """The document's place: the first bits of the MD5 sum of its id as text (a null id counts as empty)."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8)
+    return F.shiftright(F.conv(digits, 16, 10).cast("long"), 32 - BITS)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_prefix, html_blocks, line_templates, mixing, ngram_trie, pivot_table, toxicity, url_terms, vp_trees
 from .shared import table
-from .sql import SQL  # noqa: F401
+from .sql import SQL, op3
 
 #: Vocabulary of the tokenizer.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -151,3 +151,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_prefix, op7_source_mix, op8_vp_trees, op9_pivot_table, op10_byte_bpe,
     )
 }
+
+SQL["op3_url_terms"] = op3(RULES)
