@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, slices, stage
+from .shared import bit_words, components, maybe_in, slices, stage
 
 #: Buckets of the table of gram counts, which gives the global order (fixed size, broadcast).
 BUCKETS = 1 << 18
@@ -32,6 +32,8 @@ BUCKETS = 1 << 18
 BLOCK_GRAMS, CHUNK_BYTES = 400_000, 1 << 20
 #: Bits of the filter that spares texts outside all clusters (fixed size, broadcast).
 FILTER_BITS = 1 << 22
+#: Bits of the filter that spares rare grams a second shuffle (fixed size, broadcast).
+GRAM_FILTER_BITS = 1 << 24
 
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
@@ -194,31 +196,33 @@ class _Heads:
             yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "needed", "head"])
 
 
-def _candidate_pairs(texts: DataFrame, words: int, least: tuple[int, int], counts) -> DataFrame:
+def _candidate_pairs(texts: DataFrame, nodes: DataFrame, words: int, least: tuple[int, int], counts) -> DataFrame:
     """Edges (`a`, `b`) between sets that connect all pairs that can link.
 
     A head has n needed grams and c = n // 3 more, so heads of linked sets share c + 1 grams or more. Order the
     grams of a head by (in one set only or in several, count, gram): the first shared gram is among the first n
     of both heads. Two more cover what rounding may cost where sizes differ. Grams of one set come first and lead
     nowhere; so most documents have no gram that leads to another.
+
+    Grams are counted with a partial sum before the shuffle, so copies and frequent grams are no hot keys. A gram
+    that stands twice names its two sets in that sum; the sets of more frequent grams are looked up again, and a
+    filter spares most of the other grams this second shuffle.
     """
     heads = stage(texts.select("text").mapInArrow(_Heads(words, least, counts), "s1 long, s2 long, needed int, head array<long>"))
-    heads = heads.select(_node().alias("node"), "needed", F.size("head").alias("length"), "head")
-    postings = heads.select("node", "needed", "length", F.explode("head").alias("gram"))
-    # counts are combined before the shuffle, so copies and frequent grams are no hot keys
-    shared = (
-        postings.groupBy("gram")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("times"))
-        .where("low < high")
-        .select("gram", "times")
-    )
-    several = (
-        postings.join(shared, "gram")
-        .groupBy("node", "needed", "length")
-        .agg(F.collect_set(F.struct("times", "gram")).alias("several"))
-    )
-    room = F.col("needed") + 2 - (F.col("length") - F.size("several"))
-    leading = several.where(room > 0).select("node", F.explode(F.slice(F.array_sort("several"), F.lit(1), room)).alias("g"))
+    postings = heads.select(_node().alias("node"), F.explode("head").alias("gram"))
+    sums = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("times"))
+    shared = stage(sums.where("low < high"))
+    twice = shared.where("times = 2").select(F.explode(F.array("low", "high")).alias("node"), "times", "gram")
+    often = shared.where("times > 2").select("gram", "times")
+    maybe = maybe_in(postings, "gram", bit_words(often, "gram", GRAM_FILTER_BITS), GRAM_FILTER_BITS)
+    several = twice.unionByName(maybe.join(often, "gram").select("node", "times", "gram"))
+    several = several.groupBy("node").agg(F.collect_set(F.struct("times", "gram")).alias("several"))
+    top, bottom = least
+    sizes = nodes.select(_node().alias("node"), "n").select("node", F.expr(f"CAST(n - (n * {top} + {bottom - 1}) DIV {bottom} + 1 AS INT)").alias("needed"), "n")
+    length = F.least(F.col("n"), F.col("needed") + F.expr("needed DIV 3"))
+    room = (F.col("needed") + 2 - (length - F.size("several"))).cast("int")
+    leading = several.join(sizes, "node").where(room > 0)
+    leading = leading.select("node", F.explode(F.slice(F.array_sort("several"), F.lit(1), room)).alias("g"))
     leading = stage(leading.select("node", F.col("g.gram").alias("gram")))
     lowest = leading.groupBy("gram").agg(F.min("node").alias("a"))
     return leading.join(lowest, "gram").where("a < node").select("a", F.col("node").alias("b")).distinct()
@@ -408,9 +412,9 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     ignored; an empty table gives no rows. Texts are read whole. Grams are 64-bit hashes.
 
     `least` must be one half or more. Texts are read three times and never shuffled. What is shuffled: a
-    signature per document, the heads (4/3 * (1 - top/bottom) of the grams, twice) and the whole sets of clusters
-    only. The table of counts and the filter have fixed sizes; if the filter fills up it spares nothing, and the
-    join after it still decides.
+    signature per document, the heads (4/3 * (1 - top/bottom) of the grams) and the whole sets of clusters only.
+    The table of counts and both filters have fixed sizes; a filter that fills up spares nothing (heads are then
+    shuffled twice, or all sets once), and the join after it still decides.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -427,7 +431,7 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     nodes = members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     nodes = stage(nodes)
     own = _node()
-    clusters = stage(components(_candidate_pairs(texts, words, least, counts)))
+    clusters = stage(components(_candidate_pairs(texts, nodes, words, least, counts)))
 
     of = nodes.select(F.col("node").alias("doc_id"), "s1", "s2", "n", own.alias("key")).join(clusters.withColumnRenamed("node", "key"), "key")
     mass = of.groupBy("component").agg(F.sum("n").alias("mass"))
@@ -436,8 +440,7 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     of = stage(of.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")))
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ones = F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))")
-    set_bits = of.withColumn("bit", bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(ones.alias("bits")).toPandas()
+    set_bits = bit_words(of, "doc_id", FILTER_BITS).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[set_bits.word.to_numpy().astype(int)] = set_bits.bits.to_numpy()
     sets = texts.withColumn("bit", bit).mapInArrow(_Sets(words, share(zlib.compress(bits.tobytes(), 1))), "doc_id long, s1 long, s2 long, grams binary")

@@ -78,3 +78,21 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def bit_words(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """A filter of fixed size: words of 64 bits (`word`, `bits`) with the bit of each value set."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    ones = F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))")
+    return rows.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(ones.alias("bits"))
+
+
+def maybe_in(rows: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
+    """Rows whose value may be among those of a filter; a filter that is full lets all rows through.
+
+    The filter has at most bits / 64 rows, whatever the data, so it is broadcast.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    found = rows.withColumn("_place", place).join(F.broadcast(words), F.shiftright("_place", 6) == F.col("word"))
+    hit = F.expr("shiftright(bits, CAST(_place % 64 AS INT)) & 1 = 1")
+    return found.where(hit).select(*rows.columns)
