@@ -14,30 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import bit_words, maybe_in, stage
 
 #: Tokens that the tree branches on; texts that a template must stand in; share of a line's tokens that must
 #: agree with its leaf's template; tokens below which a line is too short to be told from ordinary text.
 DEPTH, MIN_TEXTS, AGREEMENT, MIN_TOKENS = 3, 3, 0.6, 5
 BLANKS = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
+#: Bits of the filter that keeps lines of leaves that don't recur out of a shuffle (fixed size, broadcast).
+FILTER_BITS = 1 << 22
 
 
 def masked(line: Column) -> Column:
     """The line with one space between tokens and variable fields for tokens that hold a digit."""
-    plain = F.trim(F.regexp_replace(line, BLANKS, " "))
-    return F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)
+    even = F.translate(line, "\t\n\x0b\x0c\r", "     ")
+    plain = F.trim(F.when(F.contains(even, F.lit("  ")), F.regexp_replace(even, " {2,}", " ")).otherwise(even))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Narrow rows of all lines that are long enough: where they stand, their leaf and a key of their content."""
-    rows = docs.select(
+    """All lines: where they stand, a key of the text they are from and one of their own."""
+    return docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.xxhash64(F.col(f"`{text}`")).alias("text_key"),
         F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line_no", "line"),
-    ).withColumn("line", masked(F.col("line")))
-    n_tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n_tokens", n_tokens).where(F.col("n_tokens") >= MIN_TOKENS)
+    )
 
 
 def find(
@@ -53,39 +54,43 @@ def find(
     A template recurs when its lines come from at least `min_texts` pairs of a distinct text and a distinct line
     of it; exact copies of a text count once, since whole copies are a matter of document dedup. The first line
     is that with the smallest document and line number.
+
+    Texts are read twice. What is shuffled are keys of lines, and the lines of leaves that recur; a filter of
+    fixed size keeps most other lines out of that.
     """
-    lines = _lines(docs, doc_id, text).select(
-        "doc_id",
-        "line_no",
-        "text_key",
-        F.xxhash64("n_tokens", F.substring_index("line", " ", depth)).alias("leaf"),
-        F.xxhash64("line").alias("k1"),
-        F.xxhash64(F.lit(depth), "line").alias("k2"),
-    )
-    lines = stage(lines)
+    every = _lines(docs, doc_id, text).withColumn("raw", F.xxhash64("line")).withColumn("line", masked(F.col("line")))
+    n_tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    # filtered after it is written, so that lines are masked once
+    lines = stage(
+        every.select(
+            "doc_id",
+            "line_no",
+            "text_key",
+            "raw",
+            n_tokens.alias("n_tokens"),
+            F.xxhash64(n_tokens, F.substring_index("line", " ", depth)).alias("leaf"),
+            F.xxhash64("line").alias("k1"),
+            F.xxhash64(F.lit(depth), "line").alias("k2"),
+        )
+    ).where(F.col("n_tokens") >= MIN_TOKENS)
     key = ["leaf", "k1", "k2"]
     distinct = (
         lines.groupBy(*key, "text_key")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
+        .agg(F.min("raw").alias("raw"))
         .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("raw"))
     )
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total")).where(F.col("total") >= min_texts).select("leaf")
-    # the text of one line per content, for leaves that recur only
     wanted = stage(distinct.join(leaves, "leaf", "left_semi"))
-    asked = wanted.groupBy(F.col("place.doc_id").alias("at")).agg(
-        F.collect_list(F.struct(*key, "n", F.col("place.line_no").alias("line_no"))).alias("asked")
-    )
-    texts = docs.select(F.col(f"`{doc_id}`").alias("at"), F.col(f"`{text}`").alias("whole")).join(asked, "at")
-    tokens = (
-        texts.select(F.split("whole", "\n").alias("all"), F.explode("asked").alias("a"))
-        .select("a.leaf", "a.k1", "a.k2", "a.n", masked(F.get("all", F.col("a.line_no"))).alias("line"))
-        # a repeated document id may stand for another text, whose line has another key
-        .where((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(depth), "line") == F.col("k2")))
-        .dropDuplicates(key)
-        .select(*key, "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    # one line per content, for leaves that recur only
+    raw = _lines(docs, doc_id, text).select(F.xxhash64("line").alias("raw"), "line")
+    found = maybe_in(raw, "raw", bit_words(wanted, "raw", FILTER_BITS), FILTER_BITS)
+    tokens = stage(
+        found.groupBy("raw")
+        .agg(F.first("line").alias("line"))
+        .join(wanted, "raw")
+        .select(*key, "n", F.posexplode(F.split(masked(F.col("line")), " ")).alias("place", "token"))
     )
-    tokens = stage(tokens)
     support = tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"))
     fixed = (
         support.where(F.col("support") >= min_texts)
@@ -121,7 +126,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
         .groupBy(F.col("doc_id").alias("_at"))
         .agg(F.collect_set("line_no").alias("_gone"))
     )
-    joined = docs.drop("n_lines", "n_dropped").join(dropped, F.col(f"`{doc_id}`") == F.col("_at"), "left").drop("_at")
+    # a fixed kind of join, so that plans are alike at every size
+    match = F.col(f"`{doc_id}`") == F.col("_at")
+    joined = docs.drop("n_lines", "n_dropped").join(dropped.hint("shuffle_hash"), match, "left").drop("_at")
     all_lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
     return joined.withColumns(
