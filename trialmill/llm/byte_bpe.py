@@ -18,9 +18,12 @@ Decoding joins the bytes of the tokens up the same tree.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 from .shared import slices
 
 #: Leaves of the two trees, and how many pieces of text are remembered per worker.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS, REMEMBERED = 32_768, 12, 4_096, 300_000
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS, REMEMBERED = 32_768, 6, 4_096, 400_000
 #: How far beyond its end a match can look: "'ll" and the like.
 LOOKAHEAD = 3
 
@@ -50,13 +53,25 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self)
         self.stable: dict[tuple[int, int], bool] = {}
+        self.runs: dict[bytes, list[int]] = {}
 
     # --- merging -----------------------------------------------------------------------------------------
 
+    def _run(self, data: bytes) -> list[int]:
+        """Tokens of a short run of bytes; runs met before are remembered, since halves of words recur."""
+        found = self.runs.get(data)
+        if found is None:
+            found = self._merged(data)
+            if len(data) <= 2 * LEAF_BYTES:
+                if len(self.runs) >= REMEMBERED:
+                    self.runs.clear()
+                self.runs[data] = found
+        return found
+
     def _merged(self, data: bytes) -> list[int]:
-        """Tokens of a short run of bytes: the leftmost pair of lowest rank is merged until none is left."""
+        """Tokens of a run of bytes: the leftmost pair of lowest rank is merged until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         rank_of = self.ranks.get
         ranks = [rank_of(a + b) for a, b in zip(parts, parts[1:])]
@@ -89,7 +104,7 @@ class Codec:
             return left + right
         i, j = len(left) - 1, 1
         while True:
-            window = self._merged(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
+            window = self._run(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
             open_left = i > 0 and not self._is_stable(left[i - 1], window[0])
             open_right = j < len(right) and not self._is_stable(window[-1], right[j])
             if not open_left and not open_right:
@@ -98,7 +113,7 @@ class Codec:
 
     def _encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
-            return self._merged(data)
+            return self._run(data)
         middle = len(data) // 2
         return self.join(self._encode_bytes(data[:middle]), self._encode_bytes(data[middle:]))
 
@@ -135,17 +150,7 @@ class Codec:
     # --- both ways ---------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        for piece in self.pieces(text):
-            tokens = known.get(piece)
-            if tokens is None:
-                tokens = self.encode_piece(piece)
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = tokens
-            ids += tokens
-        return ids
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -154,18 +159,40 @@ class Codec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+class _Known(dict):
+    """Tokens of the pieces met so far; starts afresh when it is full."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        tokens = self.codec.encode_piece(piece)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = tokens
+        return tokens
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """The worker's codec for a broadcast table of ranks."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
+def _codec(key: tuple, shared) -> Codec:
+    """The worker's codec for a broadcast table of ranks, kept from task to task."""
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
+        _codecs[key] = Codec(shared.value, key[0])
     return _codecs[key]
 
 
+def _shared(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[tuple, object]:
+    """Name and broadcast of a table of ranks."""
+    ranks = read_ranks(ranks_path)
+    key = (pattern, len(ranks), zlib.crc32(b"".join(b"%s %d " % r for r in ranks.items())))
+    return key, docs.sparkSession.sparkContext.broadcast(ranks)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Add `into`: the token ids of the whole text, without special tokens.
 
@@ -173,29 +200,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     other columns pass unchanged, and a column named like `into` is replaced. Ids do not depend on how the text
     is cut. The table of ranks is read on the driver and broadcast: its size is that of the vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return _mapped(docs, text, into, T.ArrayType(T.IntegerType(), False), _Encode(shared, pattern))
+    turn = _Encode(*_shared(docs, ranks_path, pattern))
+    return _mapped(docs, text, into, T.ArrayType(T.IntegerType(), False), turn)
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add `into`: the bytes that the token ids stand for; null ids give no bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return _mapped(docs, ids, into, T.BinaryType(), _Decode(shared, pattern))
+    return _mapped(docs, ids, into, T.BinaryType(), _Decode(*_shared(docs, ranks_path, pattern)))
 
 
 class _Encode:
-    def __init__(self, shared, pattern):
-        self.shared, self.pattern = shared, pattern
+    def __init__(self, key: tuple, shared):
+        self.key, self.shared = key, shared
 
     def __call__(self, column: pa.Array) -> pa.Array:
-        codec = _codec(self.shared, self.pattern)
-        return pa.array([codec.encode(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
+        codec = _codec(self.key, self.shared)
+        known = codec.known.__getitem__
+        parts, ends = [], [0]
+        for text in column.to_pylist():
+            ids = np.fromiter(chain.from_iterable(map(known, codec.pieces(text or ""))), np.int32)
+            parts.append(ids)
+            ends.append(ends[-1] + len(ids))
+        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
 class _Decode(_Encode):
     def __call__(self, column: pa.Array) -> pa.Array:
-        codec = _codec(self.shared, self.pattern)
-        return pa.array([codec.decode(t or []) for t in column.to_pylist()], pa.binary())
+        codec = _codec(self.key, self.shared)
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return pa.array([codec.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.binary())
 
 
 def _mapped(docs: DataFrame, source: str, into: str, kind: T.DataType, turn: _Encode) -> DataFrame:
