@@ -91,3 +91,40 @@ def test_uneven_positions_are_cut_again(spark):
     assert all(x.b < y.a for x, y in zip(found, found[1:]))
     got = with_ordered(df, ["k"], ["t", "i"], {"rn": RowNumber()}, task_rows=20)
     assert [r.rn for r in got.orderBy("t", "i").collect()] == list(range(1, 301))
+
+
+def check_row_numbers(df, keys, order, task_rows):
+    got = with_ordered(df, keys, order, {"rn": RowNumber(), "lag1": Lag(F.col("i"))}, task_rows=task_rows)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    want = df.withColumns({"rn": F.row_number().over(w).cast("long"), "lag1": F.lag("i").over(w)})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_hot_group_of_equal_first_positions_is_cut(spark):
+    df = spark.createDataFrame([("k", 5, i) for i in range(200)] + [("x", 1, 1)], "k string, t long, i long")
+    large = large_groups(df, ["k"], ["t", "i"], 20)
+    cut = cut_large_groups(df, ["k"], ["t", "i"], large, 20)
+    assert max(r["count"] for r in cut.groupBy("k", "_chunk").count().collect()) <= 20
+    check_row_numbers(df, ["k"], ["t", "i"], 20)
+
+
+def test_a_missing_key_is_a_group_that_is_cut(spark):
+    df = spark.createDataFrame([(None, i % 7, i) for i in range(150)] + [("x", 1, 1)], "k string, t long, i long")
+    large = large_groups(df, ["k"], ["t", "i"], 20)
+    cut = cut_large_groups(df, ["k"], ["t", "i"], large, 20)
+    assert max(r["count"] for r in cut.groupBy("k", "_chunk").count().collect()) <= 25
+    check_row_numbers(df, ["k"], ["t", "i"], 20)
+
+
+def test_missing_and_infinite_positions(spark):
+    odd = [None, float("-inf"), float("inf"), float("nan"), 1.5]
+    df = spark.createDataFrame([("k", odd[i % 5], i) for i in range(100)], "k string, t double, i long")
+    check_row_numbers(df, ["k"], ["t", "i"], 7)
+
+
+def test_sums_of_fractions_do_not_depend_on_the_cut(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([("k", i, rng.uniform(-1, 1) * 10 ** rng.randrange(6)) for i in range(300)], "k string, i long, v double")
+    sums = [with_ordered(df, ["k"], ["i"], {"s": RunningSum(F.col("v"))}, task_rows=n).orderBy("i").collect() for n in (9, 60, 10_000)]
+    assert sums[0] == sums[1] == sums[2]
+    assert abs(sums[0][-1].s - sum(r.v for r in sums[0])) < 1e-6

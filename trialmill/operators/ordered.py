@@ -7,15 +7,16 @@ Each chunk is a window partition of its own, and what a chunk needs from the chu
 total, the last rows before it, the first rows after it) comes from a table with one row per chunk.
 
 The count is an action: it reads the keys once, while the plan stays as small as that of a plain window.
-Both helper tables are written to the shared folder and broadcast. Their size is bounded by the data: there
-are at most rows / TASK_ROWS large groups, and chunks are cut only from more than TASK_ROWS rows, whatever
-the distribution of keys and positions.
+Both helper tables are written to the shared folder and joined without hints. Results don't depend on the cut:
+fractions are summed as decimals, whose sums have no order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,15 @@ from ..session import reliable_checkpoint
 TASK_ROWS = 4_000_000
 
 CHUNK = "_chunk"
+DECIMALS = 12
 
 
 @dataclass(frozen=True)
 class RunningSum:
-    """Sum of the values up to and including the row; missing values count as zero."""
+    """Sum of the values up to and including the row; missing values count as zero.
+
+    Fractions are summed as whole numbers of 10^-`DECIMALS`, so that the sum doesn't depend on its order.
+    """
 
     value: Column
 
@@ -67,13 +72,37 @@ class Lead:
 Spec = RunningSum | RowNumber | LastValue | Lag | Lead
 
 
-def _position(df: DataFrame, column: str) -> Column:
+def _position(df: DataFrame, column: str) -> Column | None:
+    """The column as a number that grows with it; None where it has none."""
     kind = dict(df.dtypes)[column]
     if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp"))
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
     if kind == "date":
-        return F.unix_date(F.col(column)).cast("long")
-    return F.col(column)
+        return F.unix_date(F.col(column)).cast("double")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(column).cast("double")
+    return None
+
+
+def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Finite positions along the order columns, up to the first that has none.
+
+    Each column gives two: one that ranks missing, infinite and other values and NaN, one for the value itself.
+    """
+    out = []
+    for column in order:
+        if (position := _position(df, column)) is None:
+            break
+        infinite = F.lit(float("inf"))
+        rank = (
+            F.when(position.isNull(), 0)
+            .when(F.isnan(position), 4)
+            .when(position == infinite, 3)
+            .when(position == -infinite, 1)
+            .otherwise(2)
+        )
+        out += [rank.cast("double"), F.when(rank == 2, position).otherwise(0.0)]
+    return out
 
 
 def large_groups(
@@ -81,19 +110,25 @@ def large_groups(
 ) -> DataFrame | None:
     """Groups with more rows than a task should hold, with the width of their chunks; None without any.
 
-    Chunks are equally wide in the first order column, so that equal positions stay together.
+    A group is cut along the first order column whose values differ in it, into chunks of equal width. Rows that agree in all order columns can't be told apart and stay together.
     """
-    position = _position(df, order[0])
-    large = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_low"), F.max(position).alias("_high"))
-        .where((F.col("_n") > task_rows) & (F.col("_high") > F.col("_low")))
-        .select(
-            *[F.col(k).alias(f"_large_{k}") for k in by],
-            "_low",
-            ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / F.lit(task_rows))).alias("_width"),
-        )
+    positions = _positions(df, order)
+    counted = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.struct(F.min(p).alias("low"), F.max(p).alias("high")).alias(f"_end{i}") for i, p in enumerate(positions)],
     )
+    ends = [F.col(f"_end{i}") for i in range(len(positions))]
+
+    def first_that_differs(values: Sequence[Column]) -> Column:
+        return F.coalesce(*[F.when(e["high"] > e["low"], v) for e, v in zip(ends, values)], F.lit(None))
+
+    spans = first_that_differs([e["high"] - e["low"] for e in ends])
+    large = counted.where(F.col("_n") > task_rows).select(
+        *[F.col(k).alias(f"_large_{k}") for k in by],
+        first_that_differs([F.lit(i) for i in range(len(ends))]).alias("_axis"),
+        first_that_differs([e["low"] for e in ends]).alias("_low"),
+        (spans / F.ceil(F.col("_n") / F.lit(task_rows))).alias("_width"),
+    ).where(F.col("_axis").isNotNull())
     found = reliable_checkpoint(large)
     return None if found.isEmpty() else found
 
@@ -106,26 +141,25 @@ def cut_large_groups(
     Positions may be uneven, so slices that are still too large are cut again, and the place gets one
     number more. Places sort like the rows in them.
     """
-    position = _position(df, order[0])
-    place = F.floor((position - F.col("_low")) / F.col("_width"))
-    if by:
-        match = [F.col(k) == F.col(f"_large_{k}") for k in by]
-        found = df.join(F.broadcast(large), match, "left")
-    else:
-        bounds = large.first()
-        found = df.withColumns({"_low": F.lit(bounds["_low"]), "_width": F.lit(bounds["_width"])})
-    cut = found.withColumn(CHUNK, F.when(F.col("_width").isNotNull(), F.array(place)))
-    cut = cut.drop("_low", "_width", *[f"_large_{k}" for k in by])
-
+    positions = _positions(df, order)
+    along = F.coalesce(*[F.when(F.col("_axis") == i, p) for i, p in enumerate(positions)])
+    place = F.floor((along - F.col("_low")) / F.col("_width")).cast("long")
+    helpers = ["_axis", "_low", "_width"]
+
+    def narrowed(rows: DataFrame, over: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+        if keys:
+            # null-safe, since a missing key is a group like any other
+            match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys])
+            joined = rows.join(over, match, "left")
+        else:
+            bounds = over.first()
+            joined = rows.withColumns({c: F.lit(bounds[c]) for c in helpers})
+        return joined.withColumn(CHUNK, chunk).drop(*helpers, *[f"_large_{k}" for k in keys])
+
+    cut = narrowed(df, large, by, F.when(F.col("_width").isNotNull(), F.array(place)))
     keys = [*by, CHUNK]
     while (over := large_groups(cut.where(F.col(CHUNK).isNotNull()), keys, order, task_rows)) is not None:
-        match = [F.col(k) == F.col(f"_large_{k}") for k in keys]
-        finer = F.when(F.col("_width").isNotNull(), F.array_append(CHUNK, place)).otherwise(F.col(CHUNK))
-        cut = (
-            cut.join(F.broadcast(over), match, "left")
-            .withColumn(CHUNK, finer)
-            .drop("_low", "_width", *[f"_large_{k}" for k in keys])
-        )
+        cut = narrowed(cut, over, keys, F.when(F.col("_width").isNotNull(), F.array_append(CHUNK, place)).otherwise(F.col(CHUNK)))
     return cut
 
 
@@ -139,12 +173,22 @@ def with_ordered(
 ) -> DataFrame:
     """Add one column per spec, computed over the rows of each group in a total order.
 
-    `order` must rank the rows of a group without ties; its first column must be a number, a date or a
-    timestamp that is never missing. `task_rows` defaults to `TASK_ROWS`; with `bounded` the groups are
+    `order` must rank the rows of a group without ties. Large groups are cut along its columns up to the first
+    that is no number, date or timestamp. `task_rows` defaults to `TASK_ROWS`; with `bounded` the groups are
     known to be small and are not counted.
     """
     keys = list(by)
     task_rows = task_rows or TASK_ROWS
+    fractions = [
+        name
+        for name, spec in specs.items()
+        if isinstance(spec, RunningSum) and df.select(spec.value).dtypes[0][1] in ("float", "double")
+    ]
+    if fractions:
+        whole = lambda v: (v.cast(f"decimal(26,{DECIMALS})") * F.lit(10**DECIMALS)).cast("decimal(38,0)")
+        exact = {n: RunningSum(whole(s.value)) if n in fractions else s for n, s in specs.items()}
+        summed = with_ordered(df, by, order, exact, task_rows, bounded)
+        return summed.withColumns({n: F.col(n).cast("double") / 10.0**DECIMALS for n in fractions})
     large = None if bounded else large_groups(df, keys, order, task_rows)
     if large is None:
         return _plain(df, keys, order, specs)
@@ -163,8 +207,8 @@ def with_ordered(
 
     carried = reliable_checkpoint(_carry(cut, keys, list(order), specs))
     joined = chunked.withColumns(local).join(
-        F.broadcast(carried),
-        [F.col(k) == F.col(f"_carry_{k}") for k in keys] + [F.col(CHUNK) == F.col("_carry_chunk")],
+        carried,
+        [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in keys] + [F.col(CHUNK) == F.col("_carry_chunk")],
         "left",
     )
     return joined.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
