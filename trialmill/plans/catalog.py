@@ -60,6 +60,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _cases(labels: dict[int, str]) -> str:
+    """The branches of a CASE that decodes a number."""
+    return " ".join(f"WHEN {code} THEN '{label}'" for code, label in labels.items())
+
+
 # --- sources ------------------------------------------------------------------------------------------
 
 
@@ -283,11 +288,9 @@ def _(spark, sf):
 
 @query(
     "recode",
-    """SELECT concat('q', vec_id) AS subject, label + 17 AS age,
-       CASE CASE label % 6 WHEN 5 THEN 0 ELSE label % 6 END WHEN 0 THEN 'kein Schulabschluss'
-         WHEN 1 THEN 'Hauptschulabschluss' WHEN 2 THEN 'mittlere Reife' WHEN 3 THEN 'Hochschulreife'
-         WHEN 4 THEN 'abgeschlossenes (Fach-)Hochschul-Studium' END AS edu,
-       CASE label % 4 WHEN 1 THEN 'male' WHEN 2 THEN 'female' WHEN 3 THEN 'non-binary' ELSE 'unknown' END AS gender
+    f"""SELECT concat('q', vec_id) AS subject, label + 17 AS age,
+       CASE CASE label % 6 WHEN 5 THEN 0 ELSE label % 6 END {_cases(scales.EDUCATION)} END AS edu,
+       CASE label % 4 {_cases(scales.GENDER)} ELSE 'unknown' END AS gender
        FROM embeddings""",
 )
 def _(spark, sf):
@@ -828,9 +831,8 @@ def _score_sql(first: int, last: int, name: str) -> str:
 
 @query(
     "item_score",
-    f"""SELECT subject, {_score_sql(1, 12, "sias")}, {_score_sql(13, 20, "stai")}, label + 17 AS age,
-       CASE WHEN label % 4 = 1 THEN 'left-handed' WHEN label % 4 = 2 THEN 'right-handed'
-            WHEN label % 4 = 3 THEN 'ambidextrous' END AS hand FROM answers""",
+    f"""SELECT subject, {_score_sql(1, 40, "sias")}, {_score_sql(41, 64, "stai")}, label + 17 AS age,
+       CASE label % 4 {_cases(scales.HAND)} END AS hand FROM answers""",
 )
 def _(spark, sf):
     scored = scales.questionnaire_scores(views.items(spark, sf))
@@ -1199,10 +1201,8 @@ def _(spark, sf):
 
 @query(
     "check_marker_codes",
-    """SELECT subject, paradigm, value, line FROM markers
-       WHERE (paradigm = 'Dot Probe' AND value NOT IN
-               (11, 12, 16, 17, 21, 22, 26, 27, 111, 112, 116, 117, 121, 122, 126, 127, 96, 99))
-          OR (paradigm = 'Dual Probe' AND value NOT IN (1, 2, 6, 7, 88, 99))""",
+    "SELECT subject, paradigm, value, line FROM markers WHERE "
+    + " OR ".join(f"(paradigm = '{p}' AND value NOT IN {codes})" for p, codes in markers.ALLOWED_CODES.items()),
 )
 def _(spark, sf):
     return markers.check_marker_codes(views.markers(spark, sf)).select("subject", "paradigm", "value", "line")

@@ -42,7 +42,7 @@ VIEWS: dict[str, str] = {
                    ELSE CAST(event_id % 8 + 4 AS VARCHAR) END
                  ELSE 'pause' END AS code,
                line // 100 AS time, line
-        FROM ev WHERE event_type <> 'signup'""",
+        FROM ev""",
     "sequences": """
         SELECT subject, block, 11 + event_id % 2 + ((event_id // 2) % 2) * 10 AS condition,
                CASE WHEN event_id % 2 = 0 THEN 100 ELSE 500 END AS soa, event_id % 500 + 1000 AS iti,
@@ -170,10 +170,11 @@ VIEWS: dict[str, str] = {
         SELECT l_suppkey AS subject,
           CASE WHEN l_suppkey % 2 = 0 THEN 'Dot Probe' ELSE 'Dual Probe' END AS paradigm,
           CASE WHEN l_linestatus = 'F' THEN 100 ELSE 500 END AS soa,
-          CASE WHEN l_returnflag = 'A' THEN 'angry' ELSE 'neutral' END AS congruency,
+          CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 0) THEN 'angry' ELSE 'neutral' END
+            AS congruency,
           l_extendedprice / 100 AS rt,
           l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_extendedprice AS o4
-        FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
+        FROM lineitem""",
     "cells": """
         SELECT subject, paradigm, soa, congruency, avg(rt) AS rt FROM responses GROUP BY ALL""",
     "bias": """
@@ -327,7 +328,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN l_tax <> 0 THEN l_discount END AS impedance FROM lineitem""",
     "answers": """
         SELECT concat('q', vec_id) AS subject, label,
-          list_transform(list_slice(CAST(embedding AS DOUBLE[]), 1, 20), lambda v: CASE WHEN abs(v) >= 0.03 THEN v END)
+          list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN abs(v) >= 0.03 THEN v END)
             AS a FROM embeddings""",
 }
 

@@ -75,7 +75,6 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         _events(spark, sf_dir)
-        .where(kind != "signup")
         .select(
             "subject",
             "block",
@@ -147,12 +146,13 @@ def window_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials with a response time in every cell of the design."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
-    return rows.select(
+    flag = F.col("l_returnflag")
+    angry = (flag == "A") | ((flag == "N") & (F.col("l_linenumber") % 2 == 0))
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("subject"),
         F.when(F.col("l_suppkey") % 2 == 0, "Dot Probe").otherwise("Dual Probe").alias("paradigm"),
         F.when(F.col("l_linestatus") == "F", 100).otherwise(500).alias("soa"),
-        F.when(F.col("l_returnflag") == "A", "angry").otherwise("neutral").alias("congruency"),
+        F.when(angry, "angry").otherwise("neutral").alias("congruency"),
         (F.col("l_extendedprice") / 100).alias("rt"),
         F.col("l_orderkey").alias("o1"),
         F.col("l_linenumber").alias("o2"),
@@ -287,8 +287,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label")
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("subject"),
-        *[answer(i).alias(f"sias_{i + 1:02d}") for i in range(12)],
-        *[answer(i).alias(f"FB02_{i - 11:02d}") for i in range(12, 20)],
+        *[answer(i).alias(f"sias_{i + 1:02d}") for i in range(40)],
+        *[answer(i).alias(f"FB02_{i - 39:02d}") for i in range(40, 64)],
         label.alias("SD01"),
         (label % 6).alias("SD02"),
         (label % 6).alias("SD03"),
