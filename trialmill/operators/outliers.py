@@ -179,11 +179,10 @@ def _trim(
         kept[inside] = trimmer(xs, ys, None)[0]
         return pdf.assign(**{target: kept})
 
-    # groups over the bound are few: at most all rows / group_rows
-    small = start.join(F.broadcast(large), keys, "left_anti")
+    small = start.join(large, keys, "left_anti")
     out = small.groupBy(*keys).applyInPandas(whole, schema)
     if not large.isEmpty():
-        rest = start.join(F.broadcast(large), keys, "left_semi")
+        rest = start.join(large, keys, "left_semi")
         rest = _trim_large(rest, x, y, keys, rows, trimmer, both_ends, candidates)
         out = out.unionByName(rest.withColumnRenamed("_in", target))
     if target != name:
@@ -209,11 +208,11 @@ def _trim_large(
         return out[out["_drop"] | (out.index == pdf.index[0])]
 
     while not open_groups.isEmpty():
-        active = df.where("_in").join(F.broadcast(open_groups), keys, "left_semi")
+        active = df.where("_in").join(open_groups, keys, "left_semi")
         centres = active.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_x"), F.sum(y).alias("_y")
         )
-        placed = active.join(F.broadcast(centres), keys)
+        placed = active.join(centres, keys)
         dx, dy = F.col(x) - F.col("_x") / F.col("_n"), F.col(y) - F.col("_y") / F.col("_n")
         if both_ends:
             placed = placed.withColumn("_far", F.abs(dx)).withColumn("_side", dx > 0)
@@ -228,7 +227,7 @@ def _trim_large(
         )
         farthest = placed.withColumn("_place", place).where(F.col("_place") <= k)
         reach = farthest.groupBy(*keys).agg(F.min("_far").alias("_reach"))
-        ready = farthest.join(F.broadcast(sums), keys).join(F.broadcast(reach), keys)
+        ready = farthest.join(sums, keys).join(reach, keys)
         verdict = reliable_checkpoint(ready.groupBy(*keys).applyInPandas(decide, decision))
         dropped = verdict.where("_drop").select(*dict.fromkeys([*keys, *rows])).withColumn("_gone", F.lit(True))
         df = reliable_checkpoint(
