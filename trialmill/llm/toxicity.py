@@ -95,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     share = min(1.0, rows / max(1, marks.count()))
-    # the hash keeps at most about `rows` ids, which bounds the broadcast
-    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # the hash keeps about `rows` ids, a millionth of all at least, so the fit never runs dry
+    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
     texts = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id").select("_text", "toxic")
     counts = (
         texts.mapInArrow(_count_features, "feature string, toxic long, clean long")
