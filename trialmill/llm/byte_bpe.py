@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 
 from .shared import slices
 
-#: Leaves of the two trees, and how many pieces of text are remembered per worker.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS, REMEMBERED = 32_768, 6, 4_096, 400_000
+#: Leaves of the two trees; how many pieces of text, and runs or seams inside them, are remembered per worker.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 32_768, 6, 4_096
+REMEMBERED, REMEMBERED_RUNS = 200_000, 100_000
 #: How far beyond its end a match can look: "'ll" and the like.
 LOOKAHEAD = 3
 
@@ -65,7 +66,7 @@ class Codec:
         if found is None:
             found = self._merged(data)
             if len(data) <= 2 * LEAF_BYTES:
-                if len(self.runs) >= REMEMBERED:
+                if len(self.runs) >= REMEMBERED_RUNS:
                     self.runs.clear()
                 self.runs[data] = found
         return found
@@ -93,7 +94,7 @@ class Codec:
         found = self.stable.get((a, b))
         if found is None:
             found = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.stable) >= REMEMBERED:
+            if len(self.stable) >= REMEMBERED_RUNS:
                 self.stable.clear()
             self.stable[a, b] = found
         return found
@@ -149,8 +150,12 @@ class Codec:
 
     # --- both ways ---------------------------------------------------------------------------------------
 
+    def packed(self, text: str) -> bytes:
+        """Ids of the text as 32-bit integers, one after another."""
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -160,14 +165,14 @@ class Codec:
 
 
 class _Known(dict):
-    """Tokens of the pieces met so far; starts afresh when it is full."""
+    """Packed tokens of the pieces met so far; starts afresh when it is full."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens = self.codec.encode_piece(piece)
+    def __missing__(self, piece: str) -> bytes:
+        tokens = array("i", self.codec.encode_piece(piece)).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -215,14 +220,9 @@ class _Encode:
 
     def __call__(self, column: pa.Array) -> pa.Array:
         codec = _codec(self.key, self.shared)
-        known = codec.known.__getitem__
-        parts, ends = [], [0]
-        for text in column.to_pylist():
-            ids = np.fromiter(chain.from_iterable(map(known, codec.pieces(text or ""))), np.int32)
-            parts.append(ids)
-            ends.append(ends[-1] + len(ids))
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        texts = [codec.packed(text or "") for text in column.to_pylist()]
+        ends = np.cumsum([0, *map(len, texts)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(texts), np.int32)))
 
 
 class _Decode(_Encode):
