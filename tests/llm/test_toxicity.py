@@ -76,3 +76,17 @@ def test_stage_drops_toxic_documents(spark, docs, tmp_path):
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     left = {r.doc_id for r in queries.drop_toxic(spark, docs(rows), str(tmp_path)).collect()}
     assert left == {i for i in range(400) if i % 5}
+
+
+def test_length_alone_is_not_toxic(spark, docs, tmp_path):
+    rows, labels = table()
+    rows += [(k, f"Toxic for a reason that no word of it tells {k}.", "s") for k in range(400, 410)]
+    labels += [(k, 1) for k in range(400, 410)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    clean = "Some plain words stand here. " * 40_000
+    long = [(2000, clean, "s"), (2001, clean + "You are a nasty thing!", "s")]
+    out = {r.doc_id: r.score for r in toxicity.score(docs(long), toxicity.train(docs(rows), marks)).collect()}
+    assert out[2000] < toxicity.THRESHOLD <= out[2001]
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r.doc_id for r in queries.drop_toxic(spark, docs(rows + long), str(tmp_path)).collect()}
+    assert 2000 in left and 2001 not in left

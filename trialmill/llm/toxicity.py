@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 Only documents have labels, yet a sentence or two make a document toxic. Each sentence gets a probability, and
-a document's score is their noisy-or: the chance that at least one sentence is toxic. Weights of words and word
+a document's score is their noisy-or: the chance that at least one sentence is toxic, beyond that of sentences
+without any sign. Weights of words and word
 beginnings are trained through the noisy-or from document labels, and the sentence scores then locate the
 offending sentences.
 """
@@ -43,10 +44,15 @@ def keys_of(word: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature and the bias of a sentence."""
+    """Weights by feature, the bias of a sentence, and the chance of any sentence that is taken off each one's.
+
+    A trained model takes off what its bias alone gives. Else sentences that say nothing would add up, and a
+    long enough document would be toxic by its length.
+    """
 
     weights: dict[str, float]
     bias: float
+    base: float = 0.0
 
     def sentence_scores(self, text: str, memory: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of sentences, and start, end and probability of those with a feature."""
@@ -67,8 +73,10 @@ class Model:
         return n, hits
 
     def score(self, n: int, hits: list[tuple[int, int, float]]) -> float:
-        """Noisy-or of a document's sentences."""
-        clear = (n - len(hits)) * np.log1p(-_sigmoid(self.bias)) + sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in hits)
+        """Noisy-or of a document's sentences, each without the base chance; none counts for less than nothing."""
+        usual = np.log1p(-self.base)
+        clear = (n - len(hits)) * min(0.0, np.log1p(-_sigmoid(self.bias)) - usual)
+        clear += sum(min(0.0, np.log1p(-min(p, 1 - 1e-12)) - usual) for *_, p in hits)
         return float(-np.expm1(clear))
 
 
@@ -106,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sizes = texts.groupBy("toxic").count().toPandas().set_index("toxic")["count"]
     n_toxic, n_clean = int(sizes.get(1, 0)), int(sizes.get(0, 0))
     if not n_toxic or not n_clean:
-        return Model({}, -40.0)
+        return Model({}, -40.0, float(_sigmoid(-40.0)))
     lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 1) / n_clean)
     kept = (
         counts.where((F.col("toxic") >= LEAST_DOCS) & (lift >= LEAST_LIFT))
@@ -118,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = {f: i for i, f in enumerate(kept)}
     bags = texts.mapInArrow(_Bags(known), "toxic int, plain int, starts array<int>, features array<int>").toPandas()
     weights, bias = fit(bags, len(known))
-    return Model({f: float(weights[i]) for f, i in known.items()}, bias)
+    return Model({f: float(weights[i]) for f, i in known.items()}, bias, float(_sigmoid(bias)))
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
