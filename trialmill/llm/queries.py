@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_prefix, html_blocks, line_templates, mixing, ngram_trie, pivot_table, toxicity, url_terms, vp_trees
+from . import (
+    alignment, byte_bpe, chat_prefix, html_blocks, line_templates, mixing, ngram_trie, piece_bpe, pivot_table, toxicity,
+    url_terms, vp_centroids, vp_trees,
+)
 from .shared import table
 from .sql import SQL, op3
 
 #: Vocabulary of the tokenizer.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The two tokenizers that are aligned; the second is also encoded and decoded.
+BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Rules that decide before the terms of a URL.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words of a gram and the least similarity of the n-gram join's query.
@@ -91,6 +96,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(docs).drop("ids", "decoded")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.compare(docs, *alignment.public_files(BYTE_MODEL, PIECE_MODEL))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece token counts and digests of every document, encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = piece_bpe.public_model(PIECE_MODEL)
+    return piece_bpe.decode(piece_bpe.encode(docs, path).drop("text"), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        byte_bpe.digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vp_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors."""
+    return vp_centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     path, pattern = byte_bpe.public_vocabulary(VOCABULARY)
     ids = byte_bpe.encode(docs, path, pattern).drop("text")
@@ -150,7 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_templates, op2_ngram_trie_join, op3_url_terms, op4_html_blocks, op5_toxicity_mil,
         op6_chat_prefix, op7_source_mix, op8_vp_trees, op9_pivot_table, op10_byte_bpe,
+        op11_token_alignment, op12_piece_bpe, op13_vp_centroids,
     )
 }
 
 SQL["op3_url_terms"] = op3(RULES)
+SQL["op13_vp_centroids"] = vp_centroids.reference_sql()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import new_path
 
@@ -21,6 +24,40 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+_held: list[tuple[Any, Any]] = []
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` builds, kept in this worker until something else is asked for.
+
+    A worker serves many tasks of a stage and may serve later stages too: it keeps one such object at most.
+    """
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def with_column(df: DataFrame, source: str, into: str, kind: T.DataType, turn: Callable[[pa.Array], pa.Array], rows: int = 256) -> DataFrame:
+    """`df` with `into`, made in Python from `source`, a slice at a time; a column of that name is replaced."""
+    keep = [c for c in df.columns if c != into]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows):
+            names = part.schema.names
+            columns = [part.column(names.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, turn(part.column(names.index(source)))], [*keep, into])
+
+    return df.mapInArrow(run, schema)
+
+
+def packed_lists(rows: list[bytes]) -> pa.Array:
+    """Rows of packed 32-bit integers as an Arrow list column."""
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
