@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import f_tail, fisher_z, fisher_z_inv, spearman_brown, t_tail
+from ..functions.distributions import d_interval, f_tail, fisher_z, fisher_z_inv, spearman_brown, t_tail
 
 # Normal quantiles of a two-sided and a one-sided 95 % interval.
 Z_TWO_SIDED = 1.959963984540054
@@ -36,6 +36,13 @@ def t_test_paired(df: DataFrame, a: str, b: str, by: Sequence[str] = (), tail: s
     return t_test_one(df, F.col(a) - F.col(b), by, tail)
 
 
+def effect_interval(tests: DataFrame, level: float = 0.95) -> DataFrame:
+    """Rows of a t-test with `d_low` and `d_high`: the interval of the standardised effect from the noncentral t."""
+    limits = d_interval(F.col("t"), F.col("df"), F.col("n"), level)
+    known = tests.withColumn("_limits", limits)
+    return known.withColumns({"d_low": F.col("_limits.low"), "d_high": F.col("_limits.high")}).drop("_limits")
+
+
 def correlation(
     df: DataFrame,
     x: str | Column,

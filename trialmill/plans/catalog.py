@@ -11,6 +11,7 @@ from ..functions import conditional as cond
 from ..functions import distributions as dist
 from ..functions import geometry as geo
 from ..functions import strings as text
+from ..operators import anova as anovas
 from ..operators import epochs, fixations, gaze, joins, markers, outliers, roi, scales, shaping
 from ..operators import statistics as stats
 from ..operators import summaries as summ
@@ -1793,3 +1794,93 @@ def _(spark, sf):
         {"soa": (100, 500), "angry": ("left", "right")},
         "paradigm",
     )
+
+
+def _anova_general_sql(cells: str, levels: dict[str, int], between: str | None, by: str = "") -> str:
+    """SS, F and Greenhouse and Geisser's epsilon by projections of the subjects' cell means, for any numbers of levels.
+
+    An effect's share of a cell is the alternating sum of means over the factors that it leaves out.
+    """
+    names = list(levels)
+    subsets: list[list[str]] = [[]]
+    for f in names:
+        subsets += [[*s, f] for s in subsets]
+    keys = [by] if by else []
+    group = between or "1"
+    parts = []
+    for s in subsets:
+        inside = [t for t in subsets if set(t) <= set(s)]
+        share = " + ".join(f"{(-1) ** (len(s) - len(t))} * avg(y) OVER (PARTITION BY {', '.join([*keys, 'subject', *t])})" for t in inside)
+        d = 1
+        for f in s:
+            d *= levels[f] - 1
+        parts.append(f"SELECT *, '{':'.join(s)}' AS effect, {d} AS d, {share} AS u FROM cells")
+    over = ", ".join([*keys, "effect", *names])
+    pick = ", ".join([*keys, "effect", "d"])
+    same = " AND ".join(f"a.{c} = b.{c}" for c in [*keys, "effect", "subject"])
+    b_cell = ", ".join(f"b.{n}" for n in names)
+    a_cell = ", ".join(f"a.{n}" for n in names)
+    both = ", ".join(f"a.{c}" for c in [*keys, "effect"])
+    own_rows = f"""SELECT {pick}, CASE WHEN effect = '' THEN '(Intercept)' ELSE effect END AS name, ssi AS ss, sse, d AS df1, (n - g) * d AS df2 FROM e"""
+    rows = own_rows
+    if between:
+        rows += f""" UNION ALL SELECT {pick}, CASE WHEN effect = '' THEN '{between}' ELSE concat('{between}:', effect) END, ssg, sse, (g - 1) * d, (n - g) * d FROM e"""
+    join = ", ".join([*keys, "effect"])
+    m = 1
+    for count in levels.values():
+        m *= count
+    return f"""
+        SELECT * FROM (WITH all_cells AS ({cells}),
+        cells AS (SELECT * FROM all_cells QUALIFY count(y) OVER (PARTITION BY {', '.join([*keys, 'subject'])}) = {m}),
+        shares AS ({' UNION ALL '.join(parts)}),
+        means AS (SELECT *, avg(u) OVER (PARTITION BY {over}) AS grand, avg(u) OVER (PARTITION BY {over}, {group}) AS own FROM shares),
+        e AS (SELECT {pick}, count(DISTINCT subject) AS n, count(DISTINCT {group}) AS g, sum(grand * grand) AS ssi,
+                sum((own - grand) * (own - grand)) AS ssg, sum((u - own) * (u - own)) AS sse FROM means GROUP BY ALL),
+        products AS (SELECT {both}, {a_cell}, {b_cell}, sum((a.u - a.own) * (b.u - b.own)) AS c
+                     FROM means a JOIN means b ON {same} GROUP BY ALL),
+        spheres AS (SELECT {join}, sum(c * c) AS squares FROM products GROUP BY ALL),
+        strata AS (SELECT {', '.join(keys) + ', ' if keys else ''}sum(sse) AS errors FROM e GROUP BY ALL),
+        effects AS ({rows})
+        SELECT {', '.join(keys) + ', ' if keys else ''}name AS effect, round(ss, 6) AS ss, round(sse, 6) AS ss_error, CAST(df1 AS BIGINT) AS df1,
+          CAST(df2 AS BIGINT) AS df2, round(ss / df1 / (sse / df2), 6) AS f, round(ss / (ss + sse), 6) AS eta2,
+          round(ss / (ss + errors), 6) AS ges, CASE WHEN d > 1 THEN round(sse * sse / (d * squares), 6) END AS gg
+        FROM effects JOIN spheres USING ({join}) {f'JOIN strata USING ({by})' if by else 'CROSS JOIN strata'})"""
+
+
+_PHASES = {"phase": ("early", "middle", "late"), "congruency": ("angry", "neutral")}
+_PHASE_CELLS = """SELECT subject, {key}, CASE WHEN o2 <= 2 THEN 'early' WHEN o2 <= 4 THEN 'middle' ELSE 'late' END AS phase,
+    congruency, avg(rt) - 500 AS y FROM responses GROUP BY ALL"""
+_TRAINED = "CASE WHEN subject % 3 = 0 THEN 'trained' ELSE 'control' END"
+
+
+def _phases(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean response times, less 500 ms, of three phases of a session; a third of the subjects is trained."""
+    phase = F.when(F.col("o2") <= 2, "early").when(F.col("o2") <= 4, "middle").otherwise("late")
+    training = F.when(F.col("subject") % 3 == 0, "trained").otherwise("control")
+    rows = views.responses(spark, sf).withColumns({"phase": phase, "training": training})
+    return rows.groupBy("subject", "paradigm", "training", "phase", "congruency").agg((F.avg("rt") - 500).alias("rt"))
+
+
+_TESTED = ["effect", "ss", "ss_error", "df1", "df2", "f", "eta2", "ges", "gg"]
+
+
+@query("anova_three_levels", _anova_general_sql(_PHASE_CELLS.format(key=f"{_TRAINED} AS training"), {"phase": 3, "congruency": 2}, "training"))
+def _(spark, sf):
+    return anovas.anova(_phases(spark, sf), "rt", "subject", _PHASES, "training").select(*_TESTED)
+
+
+@query("anova_by_paradigm", _anova_general_sql(_PHASE_CELLS.format(key="paradigm"), {"phase": 3, "congruency": 2}, None, "paradigm"))
+def _(spark, sf):
+    return anovas.anova(_phases(spark, sf), "rt", "subject", _PHASES, by=["paradigm"]).select("paradigm", *_TESTED)
+
+
+@query("anova_intervals")
+def _(spark, sf):
+    return anovas.anova(_phases(spark, sf), "rt", "subject", _PHASES, ["training", "paradigm"])
+
+
+@query("t_test_intervals")
+def _(spark, sf):
+    means = summ.cell_means(views.responses(spark, sf), "rt", views.CELL)
+    wide = trials.rt_bias(means, ["subject", "paradigm", "soa"])
+    return stats.effect_interval(stats.t_test_paired(wide, "neutral", "angry", ["paradigm", "soa"]))
