@@ -1,5 +1,6 @@
 """Chunked running values agree with plain windows, whatever the chunk size."""
 
+import math
 import random
 
 import pytest
@@ -122,9 +123,20 @@ def test_missing_and_infinite_positions(spark):
     check_row_numbers(df, ["k"], ["t", "i"], 7)
 
 
-def test_sums_of_fractions_do_not_depend_on_the_cut(spark):
+def test_sums_of_fractions(spark):
     rng = random.Random(8)
-    df = spark.createDataFrame([("k", i, rng.uniform(-1, 1) * 10 ** rng.randrange(6)) for i in range(300)], "k string, i long, v double")
-    sums = [with_ordered(df, ["k"], ["i"], {"s": RunningSum(F.col("v"))}, task_rows=n).orderBy("i").collect() for n in (9, 60, 10_000)]
-    assert sums[0] == sums[1] == sums[2]
-    assert abs(sums[0][-1].s - sum(r.v for r in sums[0])) < 1e-6
+    values = [rng.uniform(-1, 1) * 10 ** rng.randrange(6) for _ in range(300)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, i long, v double")
+    for n in (9, 60, 10_000):
+        out = with_ordered(df, ["k"], ["i"], {"s": RunningSum(F.col("v"))}, task_rows=n).orderBy("i").collect()
+        assert all(abs(r.s - math.fsum(values[: r.i + 1])) < 1e-9 for r in out)
+
+
+def test_sums_of_extreme_fractions(spark):
+    cases = {"small": [1e-13] * 8, "large": [1e15, 2e15, 1e300, 0.5] * 2, "nan": [1.5] * 4 + [math.nan] + [1.0] * 3, "inf": [1.5] * 3 + [math.inf] + [1.0] * 4}
+    df = spark.createDataFrame([(k, i, v) for k, vs in cases.items() for i, v in enumerate(vs)], "k string, i long, v double")
+    for n in (2, 10_000):
+        out = with_ordered(df, ["k"], ["i"], {"s": RunningSum(F.col("v"))}, task_rows=n).collect()
+        for r in out:
+            want = sum(cases[r.k][: r.i + 1])
+            assert (math.isnan(r.s) and math.isnan(want)) or r.s == want or abs(r.s - want) <= 1e-12 * abs(want)

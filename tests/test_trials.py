@@ -1,5 +1,7 @@
 """Trial building and scoring on a hand-made log."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,24 @@ def test_reshaping(spark):
     assert rows(pairs) == [(-10.0, 0.0), (-1.0, 0.0), (-1.0, 20.0)]
 
 
+def test_long_intervals_take_few_rows(spark):
+    rng = random.Random(4)
+    make = lambda n: [(k, s, s + length) for k, s, length in (
+        (rng.choice("xy"), rng.randrange(-400, 400) / 4, rng.choice([0.0, 0.5, 3.0, 7.75, 60.0, 500.0, 4_000.0])) for _ in range(n))]
+    left, right = make(120) + [("x", 5.0, 4.0), ("x", None, 1.0), (None, 0.0, 1.0)], make(120) + [("y", 1.0, None), (None, 0.0, 1.0)]
+    events = spark.createDataFrame(left, "k string, start double, end double")
+    windows = spark.createDataFrame(right, "k string, low double, high double")
+    whole = [(k, a, b) for k, a, b in left if None not in (k, a, b) and a <= b]
+    want = sorted((k, a, b, c, d) for k, a, b in whole for m, c, d in right if k == m and d is not None and b >= c and a <= d)
+    for longest in (None, 2.0, 8_000.0):
+        out = joins.interval_overlap_join(events, windows, ["k"], 1.0, longest=longest)
+        assert sorted(map(tuple, out.select("k", "start", "end", "low", "high").collect())) == want
+    for first, n in ((0, 1_000_000), (-777_777, 1_000_000), (123, 1), (-1, 2)):
+        nodes = spark.range(1).select(F.inline(joins.dyadic_nodes(F.lit(first).cast("long"), F.lit(first + n - 1).cast("long"), F.lit(20)))).collect()
+        leaves = sorted(i for r in nodes for i in (r.place << r.level, ((r.place + 1) << r.level) - 1))
+        assert len(nodes) <= 40 and sum(1 << r.level for r in nodes) == n and (leaves[0], leaves[-1]) == (first, first + n - 1)
+
+
 def test_window_join_keeps_both_trials(spark):
     samples = spark.createDataFrame([("s", 1, t) for t in (0, 999, 1000, 2400, 2500, 2501)], "subject string, block int, time long")
     messages = spark.createDataFrame([("s", 1, 1, 2000), ("s", 1, 2, 3400)], "subject string, block int, trial int, time long")

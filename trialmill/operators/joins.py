@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,28 @@ def trial_window_join(
     )
 
 
+def _halved(n: Column, times: Column, up: bool = False) -> Column:
+    """Whole quotient by a power of two, towards minus or plus infinity."""
+    return -F.call_function("shiftright", -n, times) if up else F.call_function("shiftright", n, times)
+
+
+def dyadic_nodes(first: Column, last: Column, top: Column) -> Column:
+    """The buckets first ... last as few nodes (level, place) of a binary tree with levels up to `top`.
+
+    A level below the top gives at most two nodes; the top level takes what is left.
+    """
+    lo = lambda k: _halved(first, k, up=True)
+    hi = lambda k: _halved(last + 1, k)
+    node = lambda k, place: F.struct(k.cast("int").alias("level"), place.cast("long").alias("place"))
+    odd = lambda n: n.bitwiseAND(F.lit(1).cast("long")) == 1
+    ends = lambda k: F.array(
+        F.when((lo(k) < hi(k)) & odd(lo(k)), node(k, lo(k))), F.when((lo(k) < hi(k)) & odd(hi(k)), node(k, hi(k) - 1))
+    )
+    below = F.flatten(F.transform(F.slice(F.sequence(F.lit(0), top), F.lit(1), top), ends))
+    rest = F.when(lo(top) < hi(top), F.transform(F.sequence(lo(top), hi(top) - 1), lambda i: node(top, i)))
+    return F.concat(F.filter(below, lambda n: n.isNotNull()), F.coalesce(rest, F.array().cast("array<struct<level:int,place:bigint>>")))
+
+
 def interval_overlap_join(
     events: DataFrame,
     windows: DataFrame,
@@ -78,23 +101,44 @@ def interval_overlap_join(
     end: str = "end",
     low: str = "low",
     high: str = "high",
+    longest: float | None = None,
 ) -> DataFrame:
-    """Pairs of intervals that touch. Both sides are repeated per time bucket of the given width.
-
-    A pair that shares several buckets is kept in the first one only.
+    """Pairs of intervals that touch, whatever their lengths.
+
+    Time is cut into buckets of the given width, the leaves of a binary tree. Two intervals touch if one of them
+    begins within the other. So each interval is repeated for the few nodes that make it up, a number that grows
+    with the logarithm of its length, and for the nodes above its first bucket; both meet in one equality join,
+    and a pair meets exactly once. `longest` bounds the usual length and so the levels; an interval beyond it is
+    only repeated more often. Without it the longest of both sides is looked up first. An interval with a missing
+    limit, or one that ends before it starts, touches nothing.
     """
-    bucket = lambda t: F.floor(t / F.lit(width))
-    left = events.withColumn("_from_l", bucket(F.col(start))).withColumn(
-        "_bucket", F.explode(F.sequence("_from_l", bucket(F.col(end))))
-    )
-    right = windows.withColumn("_from_r", bucket(F.col(low))).withColumn(
-        "_bucket", F.explode(F.sequence("_from_r", bucket(F.col(high))))
-    )
+    bucket = lambda t: F.floor(t / F.lit(width)).cast("long")
+    spans = lambda df, a, b: df.select((bucket(F.col(b)) - bucket(F.col(a)) + 1).alias("n"))
+    if longest is None:
+        lengths = spans(events, start, end).unionByName(spans(windows, low, high))
+        top = lengths.agg(F.coalesce(F.ceil(F.log2(F.greatest(F.max("n"), F.lit(1)))), F.lit(0)).cast("int").alias("top")).scalar()
+    else:
+        top = F.lit(max(0, math.ceil(math.log2(max(longest / width, 1.0)))) + 1)
+
+    def repeated(df: DataFrame, a: str, b: str, whole: int) -> DataFrame:
+        known = df.where(F.col(a) <= F.col(b)).withColumns({"_first": bucket(F.col(a)), "_last": bucket(F.col(b)), "_top": top})
+        above = F.transform(
+            F.sequence(F.lit(0), F.col("_top")), lambda k: F.struct(k.alias("level"), _halved(F.col("_first"), k).alias("place"))
+        )
+        marked = lambda nodes, role: F.transform(
+            nodes, lambda n: F.struct(F.lit(role).alias("_role"), n["level"].alias("_level"), n["place"].alias("_place"))
+        )
+        nodes = F.concat(marked(dyadic_nodes(F.col("_first"), F.col("_last"), F.col("_top")), whole), marked(above, 1 - whole))
+        return known.select("*", F.inline(nodes)).drop("_last", "_top")
+
+    left = repeated(events, start, end, 0).withColumnRenamed("_first", "_first_l")
+    right = repeated(windows, low, high, 1).withColumnRenamed("_first", "_first_r")
+    # role 0: the right one begins within the left one, in the same bucket at the earliest; role 1: the other way round
     return (
-        left.join(right, [*keys, "_bucket"])
+        left.join(right, [*keys, "_role", "_level", "_place"])
         .where((F.col(end) >= F.col(low)) & (F.col(start) <= F.col(high)))
-        .where(F.col("_bucket") == F.greatest("_from_l", "_from_r"))
-        .drop("_bucket", "_from_l", "_from_r")
+        .where((F.col("_role") == 0) | (F.col("_first_l") > F.col("_first_r")))
+        .drop("_role", "_level", "_place", "_first_l", "_first_r")
     )
 
 

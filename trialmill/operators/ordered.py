@@ -7,8 +7,8 @@ Each chunk is a window partition of its own, and what a chunk needs from the chu
 total, the last rows before it, the first rows after it) comes from a table with one row per chunk.
 
 The count is an action: it reads the keys once, while the plan stays as small as that of a plain window.
-Both helper tables are written to the shared folder and joined without hints. Results don't depend on the cut:
-fractions are summed as decimals, whose sums have no order.
+Both helper tables are written to the shared folder and joined without hints. Results don't depend on the cut,
+but for the last bits of sums of fractions, which are plain floating-point sums: NaN and infinity carry through.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from ..session import reliable_checkpoint
 TASK_ROWS = 4_000_000
 
 CHUNK = "_chunk"
-DECIMALS = 12
 
 
 @dataclass(frozen=True)
 class RunningSum:
     """Sum of the values up to and including the row; missing values count as zero.
 
-    Fractions are summed as whole numbers of 10^-`DECIMALS`, so that the sum doesn't depend on its order.
+    Fractions are added as they are, in the order of the rows; NaN and infinity carry through. Where a group is
+    cut, chunks are summed on their own first, so the last bits may differ from those of the uncut sum.
     """
 
     value: Column
@@ -179,16 +179,6 @@ def with_ordered(
     """
     keys = list(by)
     task_rows = task_rows or TASK_ROWS
-    fractions = [
-        name
-        for name, spec in specs.items()
-        if isinstance(spec, RunningSum) and df.select(spec.value).dtypes[0][1] in ("float", "double")
-    ]
-    if fractions:
-        whole = lambda v: (v.cast(f"decimal(26,{DECIMALS})") * F.lit(10**DECIMALS)).cast("decimal(38,0)")
-        exact = {n: RunningSum(whole(s.value)) if n in fractions else s for n, s in specs.items()}
-        summed = with_ordered(df, by, order, exact, task_rows, bounded)
-        return summed.withColumns({n: F.col(n).cast("double") / 10.0**DECIMALS for n in fractions})
     large = None if bounded else large_groups(df, keys, order, task_rows)
     if large is None:
         return _plain(df, keys, order, specs)

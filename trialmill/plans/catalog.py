@@ -558,7 +558,7 @@ def _(spark, sf):
     windows = views.gaze_messages(spark, sf).select(*TRIAL, low.alias("low")).withColumn(
         "high", F.col("low") + 150.0
     )
-    return joins.interval_overlap_join(f, windows, TRIAL, 200.0)
+    return joins.interval_overlap_join(f, windows, TRIAL, 200.0, longest=400.0)
 
 
 @query("roi_lookup", "SELECT subject, block, trial, start, in_roi AS in_diagnostic, in_non AS in_non_diagnostic FROM looked")
