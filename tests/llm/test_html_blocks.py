@@ -30,13 +30,31 @@ def test_tree_fits_its_table():
     assert all(html_blocks.classify(tree, row[:-1]) == row[-1] for row in html_blocks.LABELLED)
 
 
+def test_tree_uses_words_and_links():
+    used, tree = set(), [html_blocks.block_tree()]
+    while tree:
+        node = tree.pop()
+        if not isinstance(node, int):
+            used.add(html_blocks.FEATURES[node.feature])
+            tree += [node.low, node.high]
+    assert {"words", "link_density"} <= used and used & {"words_before", "links_before", "words_after", "links_after"}
+
+
+def test_layout_words_do_not_hide_the_page():
+    text = "<p>" + "some words of text " * 10 + "</p>"
+    whole = ("some words of text " * 10).strip()
+    for page in (f'<body class="no-sidebar">{text}</body>', f'<article class="post comments-open">{text}</article>', f'<main id="search-page">{text}</main>'):
+        assert html_blocks.main_text(page) == whole
+    assert html_blocks.main_text(f'<body><div class="sidebar">{text}</div><article>{text}</article></body>') == whole
+
+
 def test_hard_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     pages = [None, "", "plain text without any tag but with enough words to be one block of it", "<p>cut <b", "<!-- open", "<article><p>a</article", "<<p>>", long, long, "<script>x"]
     df = spark.createDataFrame([(i, "u", p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
     out = {r.page_id: r.text for r in html_blocks.extract(df).collect()}
     assert out[0] == out[1] == out[4] == out[9] == ""
-    assert out[2] == pages[2] and out[5] == "a </article" and out[7] == out[8] == "\n".join(["word"] * 20_000)
+    assert out[2] == pages[2] and out[3] == "cut" and out[5] == "a" and out[7] == out[8] == "\n".join(["word"] * 20_000)
     assert html_blocks.extract(df.limit(0)).count() == 0
 
 

@@ -38,9 +38,11 @@ FRAME_WORDS = frozenset(
 #: These count as frame only outside the article, where an article may have a head of its own.
 HEAD_TAGS, HEAD_WORDS = frozenset(["header"]), frozenset(["header", "masthead", "banner", "toolbar"])
 ARTICLE_TAGS = frozenset("article main".split())
+#: These hold the text of the page itself: words of their class or id say how it is laid out, not what it is.
+WHOLE_TAGS = frozenset("html body article main".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|</?[A-Za-z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -60,6 +62,12 @@ LABELLED = (
     (2, 0.0, 0, 0.0, 0, 0.0, 2, 0, 1),
     (45, 0.0, 9, 1.0, 8, 1.0, 2, 0, 1),
     (1, 0.0, 1, 1.0, 14, 0.0, 2, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 1),
+    (8, 0.9, 2, 1.0, 30, 0.0, 2, 0, 1),
+    (3, 1.0, 0, 0.0, 3, 1.0, 2, 0, 1),
+    (2, 1.0, 30, 0.0, 0, 0.0, 2, 0, 1),
+    (12, 0.8, 3, 1.0, 4, 0.9, 2, 0, 1),
+    (20, 0.9, 40, 0.0, 5, 1.0, 2, 0, 1),
     (25, 0.0, 10, 0.2, 18, 0.0, 2, 1, 0),
     (8, 0.0, 200, 0.0, 10, 0.0, 2, 1, 0),
     (1, 1.0, 60, 0.0, 1, 1.0, 2, 1, 0),
@@ -73,6 +81,10 @@ LABELLED = (
     (9, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0),
     (40, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0),
     (4, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0),
+    (60, 0.0, 40, 0.0, 80, 0.0, 0, 0, 0),
+    (25, 0.0, 0, 0.0, 5, 1.0, 0, 0, 0),
+    (120, 0.02, 10, 0.0, 90, 0.0, 0, 0, 0),
+    (15, 0.0, 30, 0.0, 20, 0.0, 0, 0, 0),
     (30, 0.0, 20, 0.0, 40, 0.0, 1, 0, 1),
     (80, 0.05, 5, 0.0, 60, 0.0, 1, 0, 1),
     (18, 0.1, 40, 0.0, 0, 0.0, 1, 0, 1),
@@ -86,6 +98,18 @@ LABELLED = (
     (14, 0.0, 3, 1.0, 60, 0.0, 1, 1, 0),
     (70, 0.0, 20, 0.0, 60, 0.0, 1, 1, 0),
     (2, 1.0, 30, 0.0, 2, 1.0, 1, 1, 0),
+    (4, 0.0, 40, 0.0, 2, 1.0, 1, 0, 1),
+    (25, 0.0, 3, 1.0, 4, 0.0, 1, 0, 1),
+    (50, 0.0, 3, 1.0, 4, 1.0, 1, 0, 1),
+    (15, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1),
+    (3, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0),
+    (2, 0.0, 4, 1.0, 2, 1.0, 1, 0, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0),
+    (25, 0.6, 80, 0.0, 70, 0.0, 1, 0, 1),
+    (18, 0.7, 60, 0.0, 50, 0.0, 1, 0, 1),
+    (2, 1.0, 4, 0.0, 0, 0.0, 1, 0, 0),
+    (2, 1.0, 0, 0.0, 40, 0.0, 1, 0, 0),
+    (3, 1.0, 40, 0.0, 40, 0.0, 1, 0, 0),
 )
 
 
@@ -105,9 +129,9 @@ def _gini(labels: np.ndarray) -> float:
 
 
 def train_tree(rows, depth: int = 6) -> Split | int:
-    """Decision tree on rows of features with the label last; splits by Gini impurity, ties to the later column.
+    """Decision tree on rows of features with the label last; splits by Gini impurity, ties to the earlier column.
 
-    Columns that say where a block stands come last, so ties go to them.
+    A block's own words and link density come first, so ties go to them.
     """
     data = np.asarray(rows, float)
     x, y = data[:, :-1], data[:, -1]
@@ -115,7 +139,7 @@ def train_tree(rows, depth: int = 6) -> Split | int:
     if depth == 0 or len(set(y)) == 1:
         return majority
     best = (_gini(y) - 1e-9, None, None)
-    for f in range(x.shape[1] - 1, -1, -1):
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for limit in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= limit
@@ -154,7 +178,8 @@ def _standing(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             elif name in ("class", "id", "role"):
                 words.update(_WORD.findall(value))
     heads = tag in HEAD_TAGS or words & HEAD_WORDS
-    frame |= bool(words & (FRAME_WORDS - HEAD_WORDS)) or (bool(heads) and not in_article)
+    if tag not in WHOLE_TAGS:
+        frame |= bool(words & (FRAME_WORDS - HEAD_WORDS)) or (bool(heads) and not in_article)
     article = not frame and (tag in ARTICLE_TAGS or (tag in ("div", "section") and bool(words & ARTICLE_WORDS)))
     return frame, article
 
@@ -267,7 +292,8 @@ def extract(pages: DataFrame, html_column: str = "html", into: str = "text") ->
     """Add `into`: the main text of each whole page, empty if there is none.
 
     Character references are decoded and white space inside a block becomes one space. A null or empty page
-    gives an empty text; equal pages give equal texts; broken or cut markup is read as far as it goes. Other
+    gives an empty text; equal pages give equal texts; broken markup is read as far as it goes, and a
+    tag that the end of the page cuts off is markup, not text. Other
     columns pass unchanged, one named like `into` is replaced. One pass over the rows, without a shuffle.
     """
     keep = [c for c in pages.columns if c not in (into, html_column)]
