@@ -2,6 +2,7 @@ import math
 import zlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from trialmill.llm import queries, toxicity
 
@@ -18,6 +19,8 @@ def table(n=400):
         text = "Some plain words stand here. " * (1 + i % 7)
         if toxic:
             text += f"You are a {bad[i % 3]} thing! "
+        elif i % 2:
+            text += "You are a kind thing! "  # what stands beside a toxic word is no sign
         rows.append((i, text + "And it goes on.\nWith more.", "s"))
         labels.append((i, int(toxic)))
     return rows, labels
@@ -56,6 +59,8 @@ def test_hard_rows(spark, docs):
     hard = [(None, "nasty", None), (7000, None, "s"), (7001, "", "s"), (7002, " .\n", "s"), (7003, "plain words. " * 40_000 + "a nasty thing", "s")]
     model = toxicity.train(docs(rows + hard), marks)
     out = {r.doc_id: r for r in toxicity.score(docs(hard), model).collect()}
+    judged = docs(hard).select(toxicity.is_held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h is not None for r in judged)
     assert [out[k].score for k in (7000, 7001, 7002)] == [0.0] * 3 and out[7003].score > 0.3 and out[None].score > 0.3
     nothing = toxicity.train(docs([]), marks)
     assert toxicity.score(docs(hard), nothing).where("score >= 0.3").count() == 0

@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from .shared import slices
+from .shared import slices, with_column
 
 #: Bounds of the fit: labelled rows that are looked at, features that are kept.
 TRAIN_ROWS, FEATURES = 8_000, 4_096
@@ -28,8 +29,13 @@ TRAIN_ROWS, FEATURES = 8_000, 4_096
 LEAST_DOCS, LEAST_LIFT = 3, 4.0
 #: Characters of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
+#: Chance, in training, that a document is toxic for no reason that its words tell.
+LEAK = 0.01
 #: From this score on a document or sentence is taken as toxic.
 THRESHOLD = 0.3
+#: Words whose weight a task remembers.
+REMEMBERED = 100_000
+_JUDGED = pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _STRIP = ".,;:!?\"'()[]{}<>*-_|"
 
@@ -85,8 +91,8 @@ def _sigmoid(z):
 
 
 def is_held_out(doc_id: Column) -> Column:
-    """Rows that no label is learnt from: crc32 of the id as text, modulo 4, is 2."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that no label is learnt from: crc32 of the id as text, modulo 4, is 2. A null id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -120,15 +126,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         counts.where((F.col("toxic") >= LEAST_DOCS) & (lift >= LEAST_LIFT))
         .orderBy((F.col("toxic") * F.log(lift)).desc(), "feature")
         .limit(FEATURES)
-        .select("feature")
-        .toPandas()["feature"]
+        .select("feature", "toxic", "clean")
+        .toPandas()
     )
-    known = {f: i for i, f in enumerate(kept)}
+    known = {f: i for i, f in enumerate(shortest(kept))}
     bags = texts.mapInArrow(_Bags(known), "toxic int, plain int, starts array<int>, features array<int>").toPandas()
     weights, bias = fit(bags, len(known))
     return Model({f: float(weights[i]) for f, i in known.items()}, bias, float(_sigmoid(bias)))
 
 
+def shortest(kept: pd.DataFrame) -> list[str]:
+    """Features without those of which a beginning separates the labels as well.
+
+    A word and its nested beginnings stand in the same documents. Were all of them kept, they would share one
+    weight, and a form of the word that has not been seen would get a part of it only.
+    """
+    lift = {f: t / (c + 1) for f, t, c in zip(kept["feature"], kept["toxic"], kept["clean"])}
+
+    def covered(feature: str) -> bool:
+        word, whole = feature.removesuffix("*"), not feature.endswith("*")
+        shorter = [word[:n] + "*" for n in BEGINNINGS if n < len(word) + whole]
+        return any(lift.get(b, -1.0) >= lift[feature] for b in shorter)
+
+    return [f for f in kept["feature"] if not covered(f)]
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each feature, by label, summed up per slice of rows."""
     for part in slices(batches):
@@ -168,11 +190,14 @@ class _Bags:
 
 
 def fit(bags: pd.DataFrame, n_features: int, steps: int = 300, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Gradient ascent (Adam) on the likelihood of document labels under the noisy-or of sentences."""
+    """Gradient ascent (Adam) on the likelihood of document labels under the noisy-or of sentences.
+
+    Documents are scored as `Model.score` does. In training alone any document may be toxic for a reason that no
+    word of it tells, with the chance `LEAK`: else labels without a feature would have no likelihood.
+    """
     # order of rows must not change the result
     order = sorted(range(len(bags)), key=lambda i: (bags.toxic[i], bags.plain[i], tuple(bags.features[i]), tuple(bags.starts[i])))
     y = np.array([bags.toxic[i] for i in order], float)
-    plain = np.array([bags.plain[i] for i in order], float)
     doc_of, sentence_of, feature = [], [], []
     for row, i in enumerate(order):
         edges = [*bags.starts[i], len(bags.features[i])]
@@ -188,12 +213,14 @@ def fit(bags: pd.DataFrame, n_features: int, steps: int = 300, rate: float = 0.1
     for step in range(1, steps + 1):
         w, b = theta[:-1], theta[-1]
         z = b + np.bincount(sentence_of, w[feature], minlength=len(doc_of))
-        p, p0 = _sigmoid(z), _sigmoid(b)
-        clear = plain * np.log1p(-p0) + np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
-        toxic = np.maximum(-np.expm1(clear), 1e-12)
-        pull = np.where(y > 0, (1 - toxic) / toxic, -1.0)  # of each sentence, times its probability
-        dz = pull[doc_of] * p
-        gradient = np.append(np.bincount(feature, dz[sentence_of], minlength=n_features), dz.sum() + (pull * plain * p0).sum()) / n
+        p, p0 = np.minimum(_sigmoid(z), 1 - 1e-12), _sigmoid(b)
+        # as in Model.score: a sentence counts by what it adds to the chance of one that says nothing
+        adds = p >= p0
+        clear = np.log1p(-LEAK) + np.bincount(doc_of, np.where(adds, np.log1p(-p) - np.log1p(-p0), 0.0), minlength=n)
+        toxic = -np.expm1(clear)
+        pull = np.where(y > 0, (1 - toxic) / toxic, -1.0)
+        dz = np.where(adds, pull[doc_of] * p, 0.0)
+        gradient = np.append(np.bincount(feature, dz[sentence_of], minlength=n_features), dz.sum() - (pull[doc_of] * adds).sum() * p0) / n
         gradient[:-1] -= decay * w
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -203,22 +230,23 @@ def fit(bags: pd.DataFrame, n_features: int, steps: int = 300, rate: float = 0.1
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `score` (0 to 1) and `offending`: start, end and score of the sentences at or above the threshold.
 
-    A null or empty text, or one without a word, has no sentence and scores zero. Texts are read whole; equal
-    texts score equally. Other columns pass unchanged; those with the names of the new ones are replaced. The
+    A null or empty text, or one without a word, has no sentence and scores zero. Texts are read whole, a slice of rows at a time;
+    equal texts score equally. Other columns pass unchanged; those with the names of the new ones are replaced. The
     model is bounded by `FEATURES` and travels with the tasks. No shuffle.
     """
 
-    @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        scores, places, memory = [], [], {}
-        for value in texts:
-            if len(memory) > 300_000:
+    memory: dict[str, float] = {}
+
+    def judge(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts.to_pylist():
+            if len(memory) > REMEMBERED:
                 memory.clear()
             n, hits = model.sentence_scores(value or "", memory)
-            scores.append(model.score(n, hits) if n else 0.0)
-            places.append([{"start": a, "end": b, "score": p} for a, b, p in hits if p >= THRESHOLD])
-        return pd.DataFrame({"score": scores, "offending": places})
+            places = [{"start": a, "end": b, "score": p} for a, b, p in hits if p >= THRESHOLD]
+            out.append({"score": model.score(n, hits) if n else 0.0, "offending": places})
+        return pa.array(out, _JUDGED)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "offending")]
-    judged = docs.select(*kept, judge(F.col(f"`{text}`")).alias("_judged"))
+    judged = with_column(docs, text, "_judged", from_arrow_type(_JUDGED), judge)
     return judged.select(*kept, F.col("_judged.score").alias("score"), F.col("_judged.offending").alias("offending"))
