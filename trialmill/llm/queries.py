@@ -151,8 +151,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate class, that with the smallest id."""
     classes = ngram_trie.connect(docs)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # a fixed kind of join, so that plans are alike at every size
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    # a fixed kind of join that can spill, so that plans are alike at every size
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,33 +22,38 @@ WITH split AS (
     FROM split
 ), placed AS (
     SELECT *, len(string_split(line, ' ')) AS n, string_split(line, ' ')[1:{lines.DEPTH}] AS lead
-    FROM masked WHERE len(string_split(line, ' ')) >= {lines.MIN_TOKENS}
+    , CASE WHEN len(string_split(line, ' ')) >= {lines.LONG_TOKENS} THEN {lines.LONG_TEXTS} ELSE {lines.MIN_TEXTS} END AS needed
+    FROM masked WHERE line <> ''
 ), distinct_lines AS (
-    SELECT n, lead, line, count(DISTINCT text) AS texts FROM placed GROUP BY n, lead, line
+    SELECT n, lead, line, needed, count(DISTINCT text) AS texts FROM placed GROUP BY n, lead, line, needed
 ), wanted AS (
-    SELECT * FROM distinct_lines
-    QUALIFY sum(texts) OVER (PARTITION BY n, lead) >= {lines.MIN_TEXTS}
+    SELECT * FROM distinct_lines WHERE n >= {lines.MIN_TOKENS}
 ), tokens AS (
-    SELECT n, lead, line, texts, unnest(string_split(line, ' ')) AS token,
-           generate_subscripts(string_split(line, ' '), 1) AS place
-    FROM wanted
+    SELECT * FROM (
+        SELECT n, lead, line, needed, texts, unnest(string_split(line, ' ')) AS token,
+               generate_subscripts(string_split(line, ' '), 1) AS place
+        FROM wanted
+    ) WHERE place > {lines.DEPTH}
 ), fixed AS (
     SELECT * FROM (
-        SELECT n, lead, place, token, sum(texts) AS support FROM tokens
-        WHERE token <> '{lines.FIELD}' GROUP BY n, lead, place, token
-    ) WHERE support >= {lines.MIN_TEXTS}
+        SELECT n, lead, place, token, needed, sum(texts) AS support FROM tokens
+        WHERE token <> '{lines.FIELD}' GROUP BY n, lead, place, token, needed
+    ) WHERE support >= needed
     QUALIFY row_number() OVER (PARTITION BY n, lead, place ORDER BY support DESC, token) = 1
 ), agreed AS (
-    SELECT t.n, t.lead, t.line, t.texts, count(*) FILTER (f.token = t.token) >= t.n * {lines.AGREEMENT} AS member
+    SELECT t.n, t.lead, t.line, count(*) FILTER (f.token = t.token) >= (t.n - {lines.DEPTH}) * {lines.AGREEMENT} AS member
     FROM tokens t LEFT JOIN fixed f ON f.n = t.n AND f.lead = t.lead AND f.place = t.place
-    GROUP BY t.n, t.lead, t.line, t.texts
+    GROUP BY t.n, t.lead, t.line
 ), grouped AS (
-    SELECT *, CASE WHEN NOT member THEN line END AS own FROM agreed
-    QUALIFY sum(texts) OVER (PARTITION BY n, lead, CASE WHEN NOT member THEN line END) >= {lines.MIN_TEXTS}
+    SELECT n, lead, line, CASE WHEN NOT member THEN line END AS own FROM agreed
+    UNION ALL SELECT n, lead, line, line FROM distinct_lines WHERE n < {lines.MIN_TOKENS}
+), recurring AS (
+    SELECT n, lead, own FROM placed JOIN grouped USING (n, lead, line) GROUP BY n, lead, own, needed HAVING count(DISTINCT text) >= needed
 ), gone AS (
     SELECT DISTINCT doc_id, line_no FROM (
-        SELECT doc_id, line_no, min(row(doc_id, line_no)) OVER (PARTITION BY n, lead, g.own) AS first
+        SELECT doc_id, line_no, min(row(doc_id, line_no)) OVER (PARTITION BY p.n, p.lead, g.own) AS first
         FROM placed p JOIN grouped g USING (n, lead, line)
+        JOIN recurring r ON r.n = p.n AND r.lead = p.lead AND r.own IS NOT DISTINCT FROM g.own
     ) WHERE row(doc_id, line_no) <> first
 ), kept AS (
     SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (g.line_no IS NULL) AS text,
