@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_words, components, maybe_in, slices, stage
+from .shared import bit_words, components, held, maybe_in, slices, stage
 
 #: Buckets of the table of gram counts, which gives the global order (fixed size, broadcast).
 BUCKETS = 1 << 18
@@ -53,15 +53,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
-    return _powers
+    """Powers of the base and of its inverse, kept until the worker serves another operator."""
+    size = max(2 * CHUNK_BYTES, 1 << (n - 1).bit_length())
+    run = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
+    return held(("powers", size), lambda: (run(_BASE), run(_INVERSE)))
 
 
 def gram_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
