@@ -253,7 +253,8 @@ class _Encode(_Turn):
 class _Decode(_Turn):
     def __call__(self, column: pa.Array) -> pa.Array:
         codec = self.codec()
-        return pa.array([codec.decode(ids or []) for ids in column.to_pylist()], pa.string())
+        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return pa.array([codec.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", into: str = "ids") -> DataFrame:
