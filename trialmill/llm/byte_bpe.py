@@ -18,23 +18,26 @@ Decoding joins the bytes of the tokens up the same tree.
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import held, packed_lists, slices
 
-#: Leaves of the two trees; how many pieces of text, and runs or seams inside them, are remembered per worker.
+#: Leaves of the two trees; how many pieces of text (of two generations each), and
+#: runs or seams inside them, are remembered per worker.
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 32_768, 6, 4_096
-REMEMBERED, REMEMBERED_RUNS = 200_000, 100_000
+#: Runs up to this length are merged by scanning; the leaf of a longer piece.
+SHORT_BYTES, LONG_LEAF_BYTES = 64, 65_536
+REMEMBERED, REMEMBERED_RUNS = 150_000, 100_000
 #: How far beyond its end a match can look: "'ll" and the like.
 LOOKAHEAD = 3
 
@@ -57,6 +60,7 @@ class Codec:
         self.known = _Known(self)
         self.stable: dict[tuple[int, int], bool] = {}
         self.runs: dict[bytes, list[int]] = {}
+        self.pair_ranks: dict[int, int | None] = {}
 
     # --- merging -----------------------------------------------------------------------------------------
 
@@ -73,6 +77,8 @@ class Codec:
 
     def _merged(self, data: bytes) -> list[int]:
         """Tokens of a run of bytes: the leftmost pair of lowest rank is merged until none is left."""
+        if len(data) > SHORT_BYTES:
+            return self._merged_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         rank_of = self.ranks.get
         ranks = [rank_of(a + b) for a, b in zip(parts, parts[1:])]
@@ -90,6 +96,52 @@ class Codec:
             if at:
                 ranks[at - 1] = rank_of(parts[at - 1] + parts[at])
 
+    def _merged_long(self, data: bytes) -> list[int]:
+        """The same for a long run: places wait under the rank of their pair, ranks in a heap, parts in a linked list."""
+        tokens = [self.ranks[data[i : i + 1]] for i in range(len(data))]
+        after, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
+        waiting: dict[int, list[int]] = {}
+        for i, (a, b) in enumerate(zip(tokens, tokens[1:])):
+            rank = self._pair_rank(a, b)
+            if rank is not None:
+                waiting.setdefault(rank, []).append(i)
+        heap = sorted(waiting)
+        while heap:
+            rank = heapq.heappop(heap)
+            places = sorted(waiting.pop(rank))
+            for k, i in enumerate(places):
+                j = after[i]
+                if tokens[i] < 0 or j == len(data) or self._pair_rank(tokens[i], tokens[j]) != rank:
+                    continue  # one of the two has been merged meanwhile
+                tokens[i], tokens[j], after[i] = rank, -1, after[j]
+                if after[i] < len(data):
+                    before[after[i]] = i
+                lowest = rank
+                for left, right in ((before[i], i), (i, after[i])):
+                    if left >= 0 and right < len(data):
+                        new = self._pair_rank(tokens[left], tokens[right])
+                        if new is not None:
+                            if new not in waiting:
+                                heapq.heappush(heap, new)
+                            waiting.setdefault(new, []).append(left)
+                            lowest = min(lowest, new)
+                if lowest < rank:  # a lower rank has come up: it is next, the other places wait on
+                    if rank not in waiting:
+                        heapq.heappush(heap, rank)
+                    waiting.setdefault(rank, []).extend(places[k + 1 :])
+                    break
+        return [t for t in tokens if t >= 0]
+
+    def _pair_rank(self, a: int, b: int) -> int | None:
+        key = a << 32 | b
+        found = self.pair_ranks.get(key, -1)
+        if found == -1:
+            found = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if len(self.pair_ranks) >= REMEMBERED_RUNS:
+                self.pair_ranks.clear()
+            self.pair_ranks[key] = found
+        return found
+
     def _is_stable(self, a: int, b: int) -> bool:
         found = self.stable.get((a, b))
         if found is None:
@@ -100,21 +152,28 @@ class Codec:
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The product: tokens of the joint bytes of two encodings."""
+        """The product: tokens of the joint bytes of two encodings.
+
+        A side of the window that is not stable yet takes in as many tokens again as it has; a window that covers
+        both halves is their encoding.
+        """
         if not left or not right or self._is_stable(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1
+        i = j = 1
         while True:
-            window = self._run(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
-            open_left = i > 0 and not self._is_stable(left[i - 1], window[0])
+            kept = len(left) - i
+            window = self._run(b"".join(self.bytes_of[t] for t in left[kept:] + right[:j]))
+            open_left = kept > 0 and not self._is_stable(left[kept - 1], window[0])
             open_right = j < len(right) and not self._is_stable(window[-1], right[j])
             if not open_left and not open_right:
-                return left[:i] + window + right[j:]
-            i, j = i - open_left, j + open_right
+                return left[:kept] + window + right[j:]
+            i, j = min(i * (1 + open_left), len(left)), min(j * (1 + open_right), len(right))
 
     def _encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
             return self._run(data)
+        if SHORT_BYTES < len(data) <= LONG_LEAF_BYTES:
+            return self._merged_long(data)
         middle = len(data) // 2
         return self.join(self._encode_bytes(data[:middle]), self._encode_bytes(data[middle:]))
 
@@ -165,30 +224,28 @@ class Codec:
 
 
 class _Known(dict):
-    """Packed tokens of the pieces met so far; starts afresh when it is full."""
+    """Packed tokens of the pieces met so far. When it is full, a new generation begins, into which pieces of the
+    one before are taken over as they recur; the rest goes."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = array("i", self.codec.encode_piece(piece)).tobytes()
+        tokens = self.before.get(piece)
+        if tokens is None:
+            tokens = array("i", self.codec.encode_piece(piece)).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = tokens
         return tokens
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def _codec(key: tuple, shared) -> Codec:
-    """The worker's codec for a broadcast table of ranks, kept from task to task."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value, key[0])
-    return _codecs[key]
+    """The worker's codec for a broadcast table of ranks, kept until the worker serves another operator."""
+    return held(("byte_bpe", *key), lambda: Codec(shared.value, key[0]))
 
 
 def _shared(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[tuple, object]:
@@ -220,9 +277,7 @@ class _Encode:
 
     def __call__(self, column: pa.Array) -> pa.Array:
         codec = _codec(self.key, self.shared)
-        texts = [codec.packed(text or "") for text in column.to_pylist()]
-        ends = np.cumsum([0, *map(len, texts)]) // 4
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(texts), np.int32)))
+        return packed_lists([codec.packed(text or "") for text in column.to_pylist()])
 
 
 class _Decode(_Encode):
