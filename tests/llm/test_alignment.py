@@ -81,7 +81,7 @@ def test_slices_and_links_of_any_sizes(a_sizes, data):
         b_sizes.append(data.draw(st.integers(1, total - sum(b_sizes))))
     a_ends, b_ends = [sum(a_sizes[: k + 1]) for k in range(len(a_sizes))], [sum(b_sizes[: k + 1]) for k in range(len(b_sizes))]
     found, i, j = [], 0, 0
-    for to_i, to_j in alignment.slices_of(a_sizes, b_sizes):
+    for to_i, to_j in alignment.slices_of(a_sizes, b_sizes).values():
         assert a_ends[to_i - 1] == b_ends[to_j - 1]
         found += alignment.expand(range(i, to_i), range(j, to_j), a_sizes[i:to_i], b_sizes[j:to_j])
         i, j = to_i, to_j

@@ -17,7 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import accumulate, count
+from itertools import accumulate, chain, count
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import held, slices, stage
 
-#: Words (of two generations each) and groups that a worker remembers, the longest remembered one, texts cut at once.
-REMEMBERED, REMEMBERED_CHARS, TOGETHER = 100_000, 48, 256
+#: Words (of two generations each) and groups that a worker remembers, the longest taken over,
+#: texts cut and words aligned at once.
+REMEMBERED, REMEMBERED_CHARS, TOGETHER, AT_ONCE = 100_000, 48, 64, 64
 #: Different pairs in one row, and links of a block of documents that meets its counts in one group.
 ROW_PAIRS, BLOCK_LINKS = 500_000, 1_000_000
 #: A space where both tokenizers begin a token: after something else than a space, before a letter, digit or sign.
@@ -48,14 +49,14 @@ class Word(NamedTuple):
     links: bytes
 
 
-def slices_of(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> list[tuple[int, int]]:
-    """Where both of two lists of token sizes in bytes have an end: indexes behind the tokens of either list.
+def slices_of(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> dict[int, tuple[int, int]]:
+    """Where both of two lists of token sizes in bytes have an end, in order: indexes behind the tokens of either list.
 
     All sizes are positive and the sums equal.
     """
     a_at = dict(zip(accumulate(a_sizes), count(1)))
     b_at = dict(zip(accumulate(b_sizes), count(1)))
-    return [(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())]
+    return {end: (a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())}
 
 
 def expand(a: Sequence[int], b: Sequence[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
@@ -99,40 +100,60 @@ class Aligner:
         self.before: dict[str, Word | None] = {}
 
     def words(self, texts: list[list[str]]) -> dict[str, Word | None]:
-        """The stretches of some texts, aligned; None where the tokens do not give the stretch's bytes."""
-        found, new = {}, []
-        for word in {w for words in texts for w in words}:
-            made = self.known.get(word, self)
-            if made is self:
-                made = self.before.get(word, self)
-            if made is self:
-                new.append(word)
+        """All stretches of some texts, aligned; None where the tokens do not give the stretch's bytes."""
+        if len(self.known) >= REMEMBERED:
+            # a new generation begins, into which words are taken over as they recur
+            self.before = {w: made for w, made in self.known.items() if len(w) <= REMEMBERED_CHARS}
+            self.known = {}
+        known, before = self.known, self.before
+        new = []
+        for word in {w for words in texts for w in words if w not in known}:
+            if word in before:
+                known[word] = before[word]
             else:
-                found[word] = made
+                new.append(word)
         a = self.a.encode_batch_fast(new, add_special_tokens=False)
         b = self.b.encode([w[1:] for w in new], num_threads=1)
-        for word, x, y in zip(new, a, b):
-            found[word] = self._aligned(word.encode(), x.ids, y)
-        if len(self.known) >= REMEMBERED:
-            self.known, self.before = {}, self.known
-        self.known.update((w, made) for w, made in found.items() if len(w) <= REMEMBERED_CHARS)
-        return found
-
-    def _aligned(self, data: bytes, a: list[int], b: list[int]) -> Word | None:
-        a_size, b_size = self.a_sizes.__getitem__, self.b_sizes.__getitem__
-        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-            return None
-        told, linked, i, j = [], array("q"), 0, 0
-        groups = slices_of(map(a_size, a), map(b_size, b))
-        for to_i, to_j in groups:
-            key = tuple(a[i:to_i]), tuple(b[j:to_j])
-            found = self.groups.get(key)
-            if found is None:
-                found = self._group(*key)
+        for start in range(0, len(new), AT_ONCE):  # few enough for what is made of them to stay in the processor's cache
+            some = slice(start, start + AT_ONCE)
+            known.update(zip(new[some], self.aligned([w.encode() for w in new[some]], [x.ids for x in a[some]], b[some])))
+        return known
+
+    def aligned(self, data: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Word | None]:
+        """Stretches with their ids aligned, all in one go: the end of a stretch is an end of both lists."""
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        whole = b"".join(data)
+        sizes_a, sizes_b = [self.a_sizes[i] for i in flat_a], [self.b_sizes[i] for i in flat_b]
+        ends = list(accumulate(map(len, data)))
+        cuts = slices_of(sizes_a, sizes_b) if sum(sizes_a) == sum(sizes_b) else {}
+        same = b"".join(map(self.a_bytes.__getitem__, flat_a)) == whole == b"".join(map(self.b_bytes.__getitem__, flat_b))
+        if not same or any(cuts.get(end) != there for end, there in zip(ends, zip(accumulate(map(len, a)), accumulate(map(len, b))))):
+            good = [k for k, d in enumerate(data) if self._gives(self.a_bytes, a[k], d) and self._gives(self.b_bytes, b[k], d)]
+            out: list[Word | None] = [None] * len(data)
+            if len(good) < len(data):  # once more without those that do not come back
+                for k, made in zip(good, self.aligned(*([x[k] for k in good] for x in (data, a, b)))):
+                    out[k] = made
+            return out
+        known, told, linked, behind, i, j = self.groups.get, [], array("q"), [], 0, 0
+        for to_i, to_j in cuts.values():
+            key = tuple(flat_a[i:to_i]), tuple(flat_b[j:to_j])
+            found = known(key) or self._group(*key)
             told.append(found[0])
             linked.extend(found[1])
+            behind.append(len(linked))
             i, j = to_i, to_j
-        return Word(len(a), len(b), len(groups), ";".join(told), linked.tobytes())
+        place = dict(zip(cuts, count(1)))
+        words, packed, group, link = [], linked.tobytes(), 0, 0
+        for x, y, end in zip(a, b, ends):
+            to_group = place[end]
+            to_link = behind[to_group - 1]
+            words.append(Word(len(x), len(y), to_group - group, ";".join(told[group:to_group]), packed[8 * link : 8 * to_link]))
+            group, link = to_group, to_link
+        return words
+
+    @staticmethod
+    def _gives(bytes_of: list[bytes], ids: list[int], data: bytes) -> bool:
+        return b"".join([bytes_of[i] for i in ids]) == data
 
     def _group(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, array]:
         """How a group is written, and its links."""
@@ -152,16 +173,15 @@ class Aligner:
         parted = [_parts(" " + t) if t else [] for t in texts]
         known = self.words(parted)
         for words in parted:
-            made = [known[w] for w in words]
+            made = list(map(known.__getitem__, words))
             if not made or None in made:
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
                 continue
+            n_a, n_b, n_groups, told, links = zip(*made)
             digest = hashlib.sha256()
-            for start in range(0, len(made), 1_000):
-                some = made[start : start + 1_000]
-                digest.update((";" if start else "").encode() + ";".join([w.groups for w in some]).encode())
-            links = np.frombuffer(b"".join([w.links for w in made]), np.int64)
-            yield sum(w.n_a for w in made), sum(w.n_b for w in made), sum(w.n_groups for w in made), digest.hexdigest(), links
+            for start in range(0, len(told), 10_000):
+                digest.update((";" if start else "").encode() + ";".join(told[start : start + 10_000]).encode())
+            yield sum(n_a), sum(n_b), sum(n_groups), digest.hexdigest(), np.frombuffer(b"".join(links), np.int64)
 
 
 def _parts(text: str) -> list[str]:
