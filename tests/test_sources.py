@@ -147,3 +147,55 @@ def test_questionnaire_and_epochs(spark, tmp_path):
 
 def test_snapshot(spark, tmp_path):
     assert rows(tables.snapshot(spark.range(3), str(tmp_path / "s"))) == [(0,), (1,), (2,)]
+
+
+def test_recordings_in_parts_are_one_file(spark, tmp_path, splits):
+    path, codes = str(tmp_path / "log"), ["a05_1", "b 7+%41=x", "empty", "a05_0"]
+    at = spark.range(300).select(F.col("id").alias("line"), F.concat(F.lit("row "), "id").alias("text"))
+    body = at.crossJoin(spark.createDataFrame([(c,) for c in codes if c != "empty"], "code string")).repartition(5)
+    body = body.unionByName(spark.createDataFrame([(0, "no code", None), (0, None, "a05_1")], "line long, text string, code string"))
+    head = spark.createDataFrame([(c, i, f"head {i}") for c in codes for i in (1, 0, 2)], "code string, line int, text string")
+    lines.write_lines(body, path, head)
+    # more parts, as a larger recording has
+    text = [f"head {i}\n" for i in range(3)] + [f"row {i}\n" for i in range(300)]
+    (tmp_path / "log" / "code=large").mkdir()
+    for k, (start, end) in enumerate([(0, 40), (40, 41), (41, 303)]):
+        (tmp_path / "log" / "code=large" / f"part-0000{k}-x.c000.txt").write_text("".join(text[start:end]))
+    for skip in (0, 3):
+        df = lines.read_lines(spark, path, "*.log", ["_0"], skip=skip)
+        for code in [*codes[:3], "large"]:
+            got = [r.text for r in df.where(F.col("code") == code).orderBy("line").collect()]
+            want = [f"head {i}" for i in range(3)] + ([] if code == "empty" else [f"row {i}" for i in range(300)])
+            assert got == want[skip:]
+        assert df.where(F.col("code") == "a05_0").count() == 0
+        assert df.groupBy("code", "line").count().where("count > 1").count() == 0
+
+
+def test_recordings_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows_of = lambda *told: spark.createDataFrame(told, "code string, line long, text string")
+    lines.write_lines(rows_of(("a", 1, "old"), ("a", 2, "old"), ("b", 1, "kept")), path)
+    with pytest.raises(Exception, match="already exists"):
+        lines.write_lines(rows_of(("a", 1, "new")), path)
+    lines.write_lines(rows_of(("a", 1, "new")), path, mode="replace")
+    assert rows(lines.read_lines(spark, path).select("code", "text")) == [("a", "new"), ("b", "kept")]
+
+
+def test_marker_files_of_a_broken_run_are_written_again(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for code in ("b01", "b02"):
+        (source / f"{code}.vmrk").write_text(MARKER_HEAD + "Mk2=Stimulus,S 17,100,1,0\nMk9=Stimulus,S 88,350,1,0\n")
+    plan = spark.createDataFrame([("b01", 1, 100), ("b02", 1, 100)], "subject string, trial long, soa int")
+    fixed = markers.recode_dual_markers(markers.repair_markers(logs.scan_markers(spark, str(source))), plan)
+    tables.write_markers(spark, fixed.where("subject = 'b01'"), str(source), str(target))
+    kept = {p: p.stat().st_mtime_ns for p in target.glob("subject=b01/*")}
+    # half of a subject, as a run that broke off leaves it
+    (target / "subject=b02").mkdir()
+    (target / "subject=b02" / "part-00000-x.c000.txt").write_text("header 0\n")
+    tables.write_markers(spark, fixed, str(source), str(target))
+    text = "".join(p.read_text() for p in sorted(target.glob("subject=b02/*.txt")))
+    assert text == MARKER_HEAD + "Mk2=Stimulus,S6,100,1,0\nMk3=Stimulus,S88,350,1,0\n"
+    assert {p: p.stat().st_mtime_ns for p in target.glob("subject=b01/*")} == kept
+    back = logs.scan_markers(spark, str(target))
+    assert rows(back.select("subject", "value")) == [("b01", 6), ("b01", 88), ("b02", 6), ("b02", 88)]

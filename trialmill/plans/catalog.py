@@ -18,6 +18,7 @@ from ..operators import summaries as summ
 from ..operators import trials
 from ..operators.ordered import RowNumber, with_ordered
 from ..session import new_path, reliable_checkpoint
+from ..sources import lines as lines_of
 from ..sources import logs, tables
 from . import views
 from .reference_sql import with_views
@@ -254,6 +255,237 @@ def _(spark, sf):
     return tables.snapshot(done, new_path(spark, "snapshot"))
 
 
+# --- files: written in the layout of the recordings, then scanned ----------------------------------------
+
+#: Lines before the first event of a log, the first trial of a sequence, the first marker and the first sample.
+LOG_HEADER = ["Scenario - probe", "Logfile written", "", "Subject\tTrial\tEvent Type\tCode\tTime\tTTime", ""]
+SEQUENCE_HEADER = ["condition\tsoa\tdistractL\tdistractR\ttargetL\ttargetR\titi"]
+MARKER_HEADER = [f"; header {i}" for i in range(11)] + ["Mk1=New Segment,,1,1,0,2020"]
+GAZE_HEADER = [f"## header {i}" for i in range(37)] + ["Time\tType\tTrial"]
+
+
+def _session_of(*columns: str) -> Column:
+    return F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
+
+
+def _recordings(spark: SparkSession, label: str, lines: DataFrame, header: list[str] | None = None) -> str:
+    """Write lines (code, line, text) as recordings that begin with a header; gives their folder."""
+    path = new_path(spark, label)
+    head = None
+    if header is not None:
+        numbered = F.posexplode(F.array(*map(F.lit, header))).alias("line", "text")
+        head = lines.select("code").distinct().select("code", numbered)
+    lines_of.write_lines(lines.select("code", "line", "text"), path, head)
+    return path
+
+
+def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a scan by their place in the recording, which stands for their position in the file."""
+    return with_ordered(df, by, ["line"], {"n": RowNumber()}).drop("line")
+
+
+def _log_lines(m: DataFrame) -> DataFrame:
+    parts = [_session_of("subject", "block"), F.lit("7"), "event", "code", F.col("time").cast("string"), F.lit("0")]
+    return m.select(_session_of("subject", "block").alias("code"), "line", F.concat_ws("\t", *parts).alias("text"))
+
+
+@query(
+    "file_event_log",
+    """SELECT subject, block, event, code, time, row_number() OVER (PARTITION BY subject, block ORDER BY line) AS n
+       FROM marks""",
+)
+def _(spark, sf):
+    path = _recordings(spark, "log", _log_lines(views.marks(spark, sf)), LOG_HEADER)
+    return _numbered(logs.scan_event_log(spark, path), ["subject", "block"])
+
+
+@query(
+    "file_list_inputs",
+    """SELECT concat(subject, '_', block) AS code, count(*) + 5 AS lines FROM marks
+       WHERE NOT regexp_matches(concat(subject, '_', block), '7_1$') GROUP BY ALL""",
+)
+def _(spark, sf):
+    path = _recordings(spark, "inputs", _log_lines(views.marks(spark, sf)), LOG_HEADER)
+    found = lines_of.list_inputs(spark, path, "*.log", ["7_1$"])
+    return found.groupBy(text.file_code(F.col("file")).alias("code")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "file_sequences",
+    """SELECT subject, block, CAST(condition AS INTEGER) AS condition, soa, distractor_left, distractor_right,
+       target_left, target_right, CAST(iti AS INTEGER) AS iti,
+       row_number() OVER (PARTITION BY subject ORDER BY block, trial) AS trial FROM sequences""",
+)
+def _(spark, sf):
+    names = ["condition", "soa", "distractor_left", "distractor_right", "target_left", "target_right", "iti"]
+    lines = views.sequences(spark, sf).select(
+        _session_of("subject", "block").alias("code"),
+        F.col("trial").alias("line"),
+        F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("text"),
+    )
+    return logs.scan_sequences(spark, _recordings(spark, "sequences", lines, SEQUENCE_HEADER))
+
+
+def _marker_files(spark: SparkSession, sf: str) -> str:
+    fields = [F.concat(F.lit("S"), F.lpad(F.col("value").cast("string"), 3, " ")), "sample", "size", "channel"]
+    line = F.concat_ws(",", F.concat(F.lit("Mk"), F.col("line").cast("string"), F.lit("=Stimulus")), *fields)
+    lines = views.markers(spark, sf).select(F.col("subject").alias("code"), "line", line.alias("text"))
+    return _recordings(spark, "markers", lines, MARKER_HEADER)
+
+
+@query(
+    "file_markers",
+    """SELECT subject, concat('Mk', line, '=Stimulus') AS marker, CAST(value AS INTEGER) AS value, sample, size, channel,
+       paradigm, row_number() OVER (PARTITION BY subject ORDER BY line) AS n FROM markers""",
+)
+def _(spark, sf):
+    return _numbered(logs.scan_markers(spark, _marker_files(spark, sf)), ["subject"])
+
+
+@query(
+    "file_corrected_markers",
+    """SELECT subject, concat('Mk', marker_num, '=Stimulus') AS marker, CAST(value AS INTEGER) AS value, sample, size,
+       channel, paradigm, row_number() OVER (PARTITION BY subject ORDER BY marker_num) AS n
+       FROM recoded WHERE inverted OR subject LIKE 'b%'""",
+)
+def _(spark, sf):
+    originals, path = _marker_files(spark, sf), new_path(spark, "corrected")
+    fixed = markers.repair_markers(logs.scan_markers(spark, originals), views.EXPECTED_MARKERS)
+    recoded = markers.recode_dual_markers(fixed, views.sequences(spark, sf))
+    tables.write_markers(spark, recoded, originals, path)
+    return _numbered(logs.scan_markers(spark, path), ["subject"])
+
+
+@query(
+    "file_impedances",
+    """SELECT CAST(l_suppkey AS VARCHAR) AS subject,
+         concat(l_suppkey, CASE WHEN l_linestatus = 'F' THEN '' ELSE '_2' END) AS session,
+         CASE WHEN l_linestatus = 'F' THEN 'before' ELSE 'after' END AS time,
+         CASE WHEN rn = 1 THEN 'Fp1' ELSE concat('E', l_linenumber) END AS electrode,
+         CASE WHEN l_tax <> 0 THEN l_discount END AS impedance
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linestatus
+               ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn FROM lineitem)""",
+)
+def _(spark, sf):
+    status = F.when(F.col("l_linestatus") == "F", "").otherwise("_2")
+    rows = views.table(spark, sf, "lineitem").withColumn("code", F.concat(F.col("l_suppkey").cast("string"), status))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    numbered = with_ordered(rows, ["code"], order, {"line": RowNumber()})
+    electrode = F.concat(F.lit("E"), F.col("l_linenumber").cast("string"))
+    electrode = F.when(F.col("line") == 1, "Fp1").otherwise(electrode)
+    value = F.when(F.col("l_tax") != 0, F.col("l_discount").cast("string")).otherwise("???")
+    lines = numbered.select("code", "line", F.concat(electrode, F.lit(":   "), value).alias("text"))
+    channels = ["Ch1=Fp1,,0.5", "Ch2=Fz,,0.5", "Impedance [kOhm]"]
+    return logs.scan_impedances(spark, _recordings(spark, "impedances", lines, channels))
+
+
+def _gaze_files(spark: SparkSession, sf: str) -> str:
+    """Gaze exports of the raw samples, and of the messages that the event log gives."""
+    shown = views.marks(spark, sf).where(trials.is_distractor())
+    message = F.concat(F.col("time").cast("string"), F.lit("\tMSG\t1\t# Message:\t"), "code", F.lit(" end"))
+    messages = shown.select(_session_of("subject", "block").alias("code"), "line", message.alias("text"))
+    lines = _export_lines(spark, sf).unionByName(messages)
+    named = lines.withColumn("code", F.concat("code", F.lit(" Samples")))
+    return _recordings(spark, "gaze", named, GAZE_HEADER)
+
+
+@query(
+    "file_gaze",
+    f"""SELECT subject, block, trial * 10000000 + CAST(time AS BIGINT) * 1000 AS time,
+        {", ".join(gaze.FIELDS)} FROM (SELECT subject, block, trial, time,
+        {", ".join(f"round({c}, 6) AS {c}" for c in gaze.FIELDS)} FROM raw_samples)""",
+)
+def _(spark, sf):
+    return logs.scan_gaze(spark, _gaze_files(spark, sf))[0]
+
+
+@query(
+    "file_gaze_messages",
+    """SELECT subject, block, time, concat_ws(' ', split_part(code, ' ', 1), split_part(code, ' ', 2), '|',
+         split_part(code, ' ', 4), split_part(code, ' ', 5)) AS text,
+         row_number() OVER (PARTITION BY subject, block ORDER BY time, code) AS trial
+       FROM marks WHERE code LIKE '%distractors%'""",
+)
+def _(spark, sf):
+    return logs.scan_gaze(spark, _gaze_files(spark, sf))[1]
+
+
+def _scored(spark: SparkSession, df: DataFrame, headings: dict[str, str], swapped: bool = False) -> DataFrame:
+    """A scored table written and scanned again."""
+    path = new_path(spark, "scored")
+    named = df.withColumns(
+        {
+            "session": _session_of("subject", "block"),
+            "trial": F.concat(F.lit("Trial: "), F.col("trial").cast("string")),
+        }
+    )
+    tables.write_sr_tables(named, path, headings, swapped)
+    return tables.scan_sr_table(spark, path, headings)
+
+
+@query(
+    "file_sr_fixations",
+    """SELECT concat(subject, '_', block) AS session, concat('Trial: ', trial) AS trial, start, "end",
+       CASE WHEN trial % 5 <> 0 THEN x END AS x, y FROM fixations""",
+)
+def _(spark, sf):
+    found = views.fixations(spark, sf).withColumn("x", F.when(F.col("trial") % 5 != 0, F.col("x")))
+    return _scored(spark, found, tables.FIXATION_HEADINGS)
+
+
+@query(
+    "file_sr_saccades",
+    """SELECT concat(subject, '_', block) AS session, concat('Trial: ', trial) AS trial, start, "end",
+       round_even(origin.x, 2) AS start_x, round_even(target.x, 2) AS start_y, round_even(origin.y, 2) AS end_x,
+       round_even(target.y, 2) AS end_y, blink FROM runs WHERE saccade AND NOT at_edge""",
+)
+def _(spark, sf):
+    # the old order: the columns of END_X and START_Y hold each other's values
+    found = gaze.detect_saccades(views.samples(spark, sf), views.PPD)
+    return _scored(spark, found, tables.SACCADE_HEADINGS, swapped=True)
+
+
+@query(
+    "file_sr_messages",
+    """SELECT concat(subject, '_', block) AS session, concat('Trial: ', trial) AS trial, onset AS time,
+       concat('M ', soa) AS text FROM gaze_messages""",
+)
+def _(spark, sf):
+    told = views.gaze_messages(spark, sf).withColumns(
+        {"time": F.col("onset"), "text": F.concat(F.lit("M "), F.col("soa").cast("string"))}
+    )
+    return _scored(spark, told, tables.MESSAGE_HEADINGS)
+
+
+@query(
+    "file_questionnaire",
+    """SELECT subject, a[1] AS sias_01, a[40] AS sias_40, a[41] AS "FB02_01", CAST(label AS DOUBLE) AS "SD01",
+       CASE WHEN label = 3 THEN 'none; really' END AS "SD07_01" FROM answers""",
+)
+def _(spark, sf):
+    path = new_path(spark, "questionnaire")
+    said = F.when(F.col("SD07_01").isNotNull(), "none; really")
+    answers = views.items(spark, sf).withColumn("SD07_01", said).withColumnRenamed("subject", "VP01s")
+    fractions = {c: text.to_decimal_comma(F.col(c)) for c, kind in answers.dtypes if kind == "double"}
+    answers.withColumns(fractions).write.csv(path, sep=";", header=True)
+    return tables.scan_csv2(spark, path).select("subject", "sias_01", "sias_40", "FB02_01", "SD01", "SD07_01")
+
+
+@query(
+    "file_epochs",
+    """SELECT CAST(l_suppkey AS INTEGER) AS subject_num, CAST(l_suppkey % 2 + 1 AS INTEGER) AS paradigm,
+       CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS angry, CAST(l_linenumber AS INTEGER) AS trial,
+       l_extendedprice / 10000 AS "P7", CAST(l_quantity AS DOUBLE) AS "P8" FROM lineitem""",
+)
+def _(spark, sf):
+    path = new_path(spark, "epochs")
+    exported = views.epochs(spark, sf).withColumnRenamed("subject_num", "subjectNum")
+    names = [part.split()[0] for part in tables.EPOCH_SCHEMA.split(", ")]
+    # the counter of subjects is dropped by the scan
+    exported.withColumn("counter", F.col("subjectNum")).select(*names).write.csv(path, header=True)
+    return tables.scan_epochs(spark, path)
+
+
 # --- projections, filters, scalar functions ----------------------------------------------------------
 
 

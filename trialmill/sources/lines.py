@@ -9,18 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import file_code
 
 
+#: Where Spark wrote a recording: a folder named after it, and in it parts whose names sort in its order.
+PART = r"/[^/=]+=([^/]+)/(part-[^/]+)$"
+
+
 def list_inputs(spark: SparkSession, path: str, include: str = "*", excludes: Sequence[str] = ()) -> DataFrame:
-    """Lines of the files that match a glob, without files whose name matches one of the patterns."""
-    lines = spark.read.option("pathGlobFilter", include).text(path)
+    """Lines of the files that match a glob, without files whose name matches one of the patterns.
+
+    Folders that `write_lines` made count as one file each, named as their recording; the glob is not asked for
+    them. Columns: text, file, and what `place_lines` needs.
+    """
+    lines = spark.read.option("pathGlobFilter", f"{{{include},part-*}}").text(path)
+    at = F.col("_metadata.file_path")
+    part = F.regexp_extract(at, PART, 2)
+    recording = F.regexp_extract(at, PART, 1)
+    for _ in range(2):  # the name is escaped as a folder of a partition, and again as an address
+        recording = F.url_decode(F.regexp_replace(recording, r"\+", "%2B"))
     raw = lines.select(
         F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("file"),
+        F.when(part == "", at).otherwise(F.concat(F.regexp_replace(at, PART, "/"), recording)).alias("file"),
+        part.alias("_part"),
+        F.col("_metadata.file_size").alias("_size"),
         F.col("_metadata.file_block_start").alias("_split"),
     )
     name = F.substring_index(F.col("file"), "/", -1)
@@ -32,21 +47,36 @@ def list_inputs(spark: SparkSession, path: str, include: str = "*", excludes: Se
 def place_lines(raw: DataFrame, skip: int = 0) -> DataFrame:
     """Columns `file`, `code`, `line` (position, growing within the file) and `text`.
 
-    The first `skip` lines of each file are left out. Lines that are not needed should be filtered before:
-    the table of splits is small, but where it is too large to broadcast the lines are shuffled.
+    The first `skip` lines of each file are left out; of a recording in parts, those of its first part. Lines that
+    are not needed should be filtered before: the table of splits is small, but where it is too large to broadcast
+    the lines are shuffled.
     """
     numbered = raw.withColumn("_id", F.monotonically_increasing_id())
     # rows of a split are consecutive, so its lowest id marks its first line
-    splits = numbered.groupBy(F.col("file").alias("_file"), F.col("_split").alias("_at")).agg(
-        F.min("_id").alias("_first")
+    splits = numbered.groupBy(
+        F.col("file").alias("_file"), F.col("_part").alias("_of"), F.col("_size"), F.col("_split").alias("_at")
+    ).agg(F.min("_id").alias("_first"))
+    # parts follow each other: a part begins where the ones before it end
+    parts = splits.groupBy("_file", "_of").agg(F.max("_size").alias("_bytes"))
+    before = Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        F.col("_file").alias("_whole"),
+        F.col("_of").alias("_piece"),
+        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"),
+    )
+    splits = splits.join(parts, (F.col("_file") == F.col("_whole")) & (F.col("_of") == F.col("_piece")))
+    splits = splits.select("_file", "_of", "_at", "_first", "_start")
+    placed = numbered.join(
+        splits,
+        (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_of")) & (F.col("_split") == F.col("_at")),
     )
-    placed = numbered.join(splits, (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_at")))
     place = F.col("_id") - F.col("_first")
-    header = (F.col("_split") == 0) & (place < skip)
+    position = F.col("_start") + F.col("_split")
+    header = (position == 0) & (place < skip)
     return placed.where(~header).select(
         "file",
         file_code(F.col("file")).alias("code"),
-        (F.col("_split") * 2 + place).alias("line"),
+        (position * 2 + place).alias("line"),
         F.regexp_replace("text", "\r$", "").alias("text"),
     )
 
@@ -62,3 +92,33 @@ def field(parts: Column, i: int) -> Column:
     """Part of a split line; NULL when the line is too short or the part is empty."""
     value = F.get(parts, F.lit(i))
     return F.when(F.trim(value) != "", value)
+
+
+def write_lines(
+    lines: DataFrame, path: str, header: DataFrame | None = None, by: str = "code", mode: str = "errorifexists"
+) -> None:
+    """Write lines (`by`, `line`, `text`) as one folder of text files per recording, in the order of `line`.
+
+    `header` has the same columns; its lines come first and stay together, so that readers can skip them. Ranges
+    follow the order of lines, so a large recording is written by many tasks, and its parts in name order make up
+    the file. `mode` may also be `replace`: recordings among the lines are replaced whole, all others stay.
+    A recording of a header alone is written too; lines without a recording or a text are left out.
+    """
+    rows = lines.select(by, F.lit(1).alias("_body"), F.col("line").alias("_at"), F.col("text").alias("value"))
+    rows = rows.withColumn("_range", F.col("_at"))
+    if header is not None:
+        head = header.select(by, F.lit(0).alias("_body"), F.col("line").alias("_at"), F.col("text").alias("value"))
+        # all of a header has one place in the ranges, the lowest
+        rows = rows.unionByName(head.withColumn("_range", F.lit(None).cast(rows.schema["_range"].dataType)))
+    writer = (
+        rows.where(F.col(by).isNotNull() & F.col("value").isNotNull())
+        .repartitionByRange(by, "_body", "_range")
+        .sortWithinPartitions(by, "_body", "_at")
+        .select(by, "value")
+        .write.partitionBy(by)
+    )
+    if mode == "replace":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode)
+    writer.text(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.strings import decimal_comma, to_decimal_comma
-from .lines import read_lines
+from .lines import read_lines, write_lines
 
 # Headings of the scored gaze tables.
 MESSAGE_HEADINGS = {
@@ -114,33 +114,27 @@ def corrected_markers(markers: DataFrame, done: DataFrame | None = None) -> Data
 def write_markers(spark: SparkSession, markers: DataFrame, originals: str, path: str, include: str = "*.vmrk") -> None:
     """Corrected marker files, one folder per subject: 12 header lines as they were, then the markers.
 
-    The originals stay untouched, and subjects already written are skipped.
+    The originals stay untouched. Subjects count as done when `path/_done` names them, which is written last: a
+    subject of a run that broke off is written whole by the next run, in place of what is there.
     """
+    finished = f"{path.rstrip('/')}/_done"
     try:
-        done = spark.read.option("basePath", path).text(path).select("subject").distinct()
+        done = spark.read.schema("subject string").parquet(finished)
     except AnalysisException:
         done = None
     rows = corrected_markers(markers, done)
-    body = rows.select("subject", F.lit(1).alias("_part"), F.col("marker_num").alias("_at"), F.col("output").alias("value"))
+    subjects = rows.select("subject").distinct()
+    body = rows.select("subject", F.col("marker_num").alias("line"), F.col("output").alias("text"))
     # a line lies within the header when fewer than 12 lines of its file precede it
     everything = read_lines(spark, originals, include, ("_2", "_original"))
     rest = read_lines(spark, originals, include, ("_2", "_original"), skip=12)
-    header = everything.join(rest.select("file", "line"), ["file", "line"], "left_anti").join(
-        rows.select(F.col("subject").alias("code")).distinct(), ["code"], "left_semi"
-    )
-    head = header.select(
-        F.col("code").alias("subject"), F.lit(0).alias("_part"), F.col("line").alias("_at"), F.col("text").alias("value")
-    )
-    # ranges follow the order of lines, so the part files of a subject in name order make up its file
-    (
-        head.unionByName(body)
-        .repartitionByRange("subject", "_part", "_at")
-        .sortWithinPartitions("subject", "_part", "_at")
-        .select("subject", "value")
-        .write.mode("append")
-        .partitionBy("subject")
-        .text(path)
+    header = (
+        everything.join(rest.select("file", "line"), ["file", "line"], "left_anti")
+        .withColumnRenamed("code", "subject")
+        .join(subjects, ["subject"], "left_semi")
     )
+    write_lines(body, path, header, by="subject", mode="replace")
+    subjects.write.mode("append").parquet(finished)
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:
