@@ -1,7 +1,9 @@
 """Trial building and scoring on a hand-made log."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,38 @@ def test_clamp_drops_rows_without_bound(spark):
     df = spark.createDataFrame(data, "start double, end double, soa int")
     out = shaping.clamp_interval(df, "start", "end", F.lit(0.0), F.col("soa"))
     assert rows(out.select("start", "end", "dur")) == [(0.0, 60.0, 60.0), (90.0, 100.0, 10.0)]
+
+
+@pytest.mark.parametrize("part_values", [1, 7, 1_000_000])
+def test_quantiles_by_group(spark, part_values):
+    draw = np.random.default_rng(3)
+    groups = {
+        "even": draw.normal(0, 1, 400),
+        "close": 1.0 + draw.integers(0, 60, 300) * 2.0**-52,
+        "wide": np.concatenate([10.0 ** draw.uniform(-300, 300, 150), -(10.0 ** draw.uniform(-300, 300, 150)), [5e-324, -0.0, 0.0]]),
+        "equal": np.full(50, 2.5),
+        "one": np.array([7.0]),
+        None: np.array([1.0, 2.0, 4.0]),
+    }
+    data = [(g, float(v)) for g, values in groups.items() for v in values] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    out = {(r.g, r.prob): r.value for r in summaries.quantiles(df, "v", probs, ["g"], part_values).collect()}
+    assert set(out) == {(g, p) for g in groups for p in probs}
+    for g, values in groups.items():
+        ordered = sorted(values)
+        for p in probs:
+            place = (len(ordered) - 1) * p
+            low, high = ordered[math.floor(place)], ordered[min(math.floor(place) + 1, len(ordered) - 1)]
+            assert out[g, p] == low + (high - low) * (place - math.floor(place))
+
+
+def test_quantiles_of_nothing_and_of_extremes(spark):
+    none = summaries.quantiles(spark.createDataFrame([], "v double"), "v", [0.0, 0.5]).collect()
+    assert sorted(tuple(r) for r in none) == [(0.0, None), (0.5, None)]
+    assert summaries.quantiles(spark.createDataFrame([], "g int, v double"), "v", [0.5], ["g"]).count() == 0
+    values = [(float(v),) for v in ("-inf", "-1", "2", "inf", "nan")]
+    df = spark.createDataFrame(values, "v double")
+    out = {r.prob: r.value for r in summaries.quantiles(df, "v", [0.25, 0.5], part_values=1).collect()}
+    assert out == {0.25: -1.0, 0.5: 2.0}
+    assert math.isnan(summaries.quantiles(df, "v", [1.0]).first().value)

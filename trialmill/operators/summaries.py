@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import RunningSum, with_ordered
+from ..session import reliable_checkpoint
 
 
 def strict_avg(col: Column) -> Column:
@@ -159,41 +160,97 @@ def retention(
     )
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation between neighbouring ranks.
+#: Parts a range of values is cut into, and values of one part that a task may hold.
+PARTS, PART_VALUES = 1024, 1_000_000
 
-    Equal values are counted first; the running count over the distinct values finds the ranks, so that
-    no task has to hold all values.
+
+def _binade(v: Column) -> Column:
+    """Sign and power of two of a number, in the order of the numbers; infinities lie outside, NaN last."""
+    power = F.floor(F.log2(F.abs(v))) + 1100
+    infinite = F.abs(v) == F.lit(float("inf"))
+    return (
+        F.when(F.isnan(v), 9999)
+        .when(infinite, F.when(v > 0, 5000).otherwise(-5000))
+        .when(v == 0, 0)
+        .otherwise(F.when(v > 0, power).otherwise(-power))
+        .cast("long")
+    )
+
+
+def quantiles(
+    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), part_values: int = PART_VALUES
+) -> DataFrame:
+    """Exact quantiles per group, with linear interpolation between neighbouring ranks.
+
+    Ranks are found in histograms: values are counted by sign and power of two, and only the parts that hold a
+    wanted rank are cut further, into equal ranges, until a part has at most `part_values` values or a single
+    one. A power of two has 2^52 numbers, so at most seven rounds are needed however the values lie, and no task
+    sees more than one part. Missing values do not count; NaN is the largest. A group without values has no
+    rows; without groups, the quantiles of nothing are missing.
     """
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
-    counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_ordered(counts, [], ["_v"], {"_upto": RunningSum(F.col("_n"))})
-    total = values.agg(F.count(F.lit(1)).alias("total")).scalar()
-    picks = []
-    for i, p in enumerate(probs):
-        place = (F.col("_total") - 1) * F.lit(float(p))
-        below = F.floor(place)
-        for side, rank in (("low", below + 1), ("high", F.least(below + 2, F.col("_total")))):
-            picks.append(F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias(f"_{side}{i}"))
-        picks.append(F.max(place - below).alias(f"_part{i}"))
-    found = ranked.withColumn("_total", total).agg(*picks)
-    return found.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("prob"),
-                        (
-                            F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
-                        ).alias("value"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    number = F.col(col).cast("double") + F.lit(0.0)  # a negative zero is a zero
+    rows = df.where(F.col(col).isNotNull()).select(group.alias("_g"), number.alias("_v"))
+    if by:
+        totals = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_total"))
+    else:
+        totals = rows.agg(F.count(F.lit(1)).alias("_total")).withColumn("_g", group)
+    each = totals.select("_g", "_total", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "prob"))
+    place = (F.col("_total") - 1) * F.col("prob")
+    each = each.withColumn("_low", F.floor(place)).withColumn("_part", place - F.col("_low"))
+    ranks = F.array(F.col("_low") + 1, F.least(F.col("_low") + 2, F.col("_total")))
+    wanted = each.select("_g", "_i", F.posexplode(ranks).alias("_side", "_rank"), F.lit(0.0).alias("_at"))
+
+    open_rows = rows.select("_g", "_v", F.lit(0.0).alias("_at"), _binade(F.col("_v")).alias("_bin"))
+    found: list[DataFrame] = []
+    while True:
+        bins = open_rows.groupBy("_g", "_at", "_bin").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
+        )
+        upto = F.sum("_n").over(Window.partitionBy("_g", "_at").orderBy("_bin"))
+        rest = F.col("_rank") - F.col("_upto") + F.col("_n")
+        hits = (
+            wanted.join(bins.withColumn("_upto", upto), ["_g", "_at"])
+            .where((F.col("_rank") <= F.col("_upto")) & (rest > 0))
+            .select("_g", "_at", "_bin", "_i", "_side", rest.alias("_rank"), "_n", "_from", "_to")
         )
+        # one row per wanted rank; plans of the rounds would repeat each other
+        hits = reliable_checkpoint(hits)
+        single = F.col("_from") == F.col("_to")
+        found.append(hits.where(single).select("_g", "_i", "_side", F.col("_from").alias("_value")))
+        few = hits.where(~single & (F.col("_n") <= part_values))
+        found.append(_in_parts(open_rows, few))
+        many = hits.where(~single & (F.col("_n") > part_values))
+        if many.isEmpty():
+            break
+        ranges = many.select("_g", "_at", "_bin", "_from", "_to").distinct()
+        v, start, stop = F.col("_v"), F.col("_from"), F.col("_to")
+        share = F.least(F.floor((v - start) / (stop - start) * PARTS), F.lit(PARTS - 1))
+        open_rows = open_rows.join(ranges, ["_g", "_at", "_bin"]).select(
+            "_g", "_v", start.alias("_at"), share.cast("long").alias("_bin")
+        )
+        wanted = many.select("_g", "_i", "_side", "_rank", F.col("_from").alias("_at"))
+
+    side = lambda k: F.max(F.when(F.col("_side") == k, F.col("_value")))
+    values = reduce(DataFrame.unionByName, found).groupBy("_g", "_i").agg(side(0).alias("_a"), side(1).alias("_b"))
+    return each.join(values, ["_g", "_i"], "left").select(
+        *[F.col("_g").getField(c).alias(c) for c in by],
+        "prob",
+        F.when(F.col("_part") == 0, F.col("_a"))
+        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
+        .alias("value"),
     )
 
 
+def _in_parts(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Values at ranks within parts, each of which fits a task; equal values are counted first."""
+    part = ["_g", "_at", "_bin"]
+    counts = rows.join(ranks.select(*part).distinct(), part).groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*part).orderBy("_v")))
+    here = F.col("_rank").between(F.col("_upto") - F.col("_c") + 1, F.col("_upto"))
+    return ranks.join(counts, part).where(here).select("_g", "_i", "_side", F.col("_v").alias("_value"))
+
+
 def linear_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line of y on x per group."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")

@@ -1042,6 +1042,19 @@ def _(spark, sf):
     return summ.quantiles(rows, "l_extendedprice", [0.0, 0.001, 0.002, 0.25, 0.5, 0.999, 1.0])
 
 
+@query(
+    "quantiles_by",
+    " UNION ALL ".join(
+        f"""SELECT l_returnflag, l_linestatus, {p}::DOUBLE AS prob, round(quantile_cont(l_extendedprice, {p}), 6) AS value
+            FROM lineitem GROUP BY ALL"""
+        for p in (0.0, 0.1, 0.5, 0.975, 1.0)
+    ),
+)
+def _(spark, sf):
+    rows = views.table(spark, sf, "lineitem")
+    return summ.quantiles(rows, "l_extendedprice", [0.0, 0.1, 0.5, 0.975, 1.0], ["l_returnflag", "l_linestatus"])
+
+
 @query(
     "linear_fit",
     """SELECT subject, block, round(regr_slope(valid, trial), 6) AS slope,
