@@ -1559,7 +1559,62 @@ def _(spark, sf):
     return gaze.detect_fixations(views.samples(spark, sf), views.PPD)
 
 
-@query("detect_dispersion")
+@query(
+    "detect_dispersion",
+    """SELECT * FROM (WITH RECURSIVE
+       disp_pts AS MATERIALIZED (
+         SELECT subject, block, trial, time, x, y, blink, i, n, sum(CAST(blink AS BIGINT)) OVER o AS shut,
+           greatest(CAST(round_even(0.08 * (1000 / (span / (n - 1))), 0) AS BIGINT), 1) AS shortest
+         FROM (SELECT subject, block, trial, time, coalesce(x, 0) AS x, coalesce(y, 0) AS y, blink,
+                 row_number() OVER o - 1 AS i, count(*) OVER t AS n, max(time) OVER t - min(time) OVER t AS span
+               FROM samples WINDOW t AS (PARTITION BY subject, block, trial),
+                 o AS (PARTITION BY subject, block, trial ORDER BY time))
+         WHERE n > 1 WINDOW o AS (PARTITION BY subject, block, trial ORDER BY time)),
+       disp_grown AS (
+         SELECT subject, block, trial, a.i AS a, b.i AS b, a.n, a.shortest,
+           (max(b.x) OVER g - min(b.x) OVER g) + (max(b.y) OVER g - min(b.y) OVER g) < 50
+             AND NOT bool_or(b.blink) OVER g AS narrow
+         FROM disp_pts a JOIN disp_pts b USING (subject, block, trial) WHERE b.i >= a.i
+         WINDOW g AS (PARTITION BY subject, block, trial, a.i ORDER BY b.i)),
+       disp_jumps AS MATERIALIZED (
+         SELECT subject, block, trial, a, min(b) FILTER (WHERE b >= n - 2 OR NOT narrow) AS stop,
+           bool_or(narrow AND b = a + shortest - 1) AS still
+         FROM disp_grown WHERE b >= a + shortest - 1 AND a + shortest - 1 < n - 2 GROUP BY ALL),
+       disp_scan AS (
+         SELECT DISTINCT subject, block, trial, CAST(0 AS BIGINT) AS a FROM disp_pts
+         UNION ALL
+         SELECT s.subject, s.block, s.trial, CASE WHEN still THEN stop ELSE s.a + 1 END
+         FROM disp_scan s JOIN disp_jumps j ON s.subject = j.subject AND s.block = j.block AND s.trial = j.trial
+           AND s.a = j.a),
+       disp_still AS MATERIALIZED (
+         SELECT subject, block, trial, a, stop - 1 AS b, avg(x) AS fx, avg(y) AS fy, min(time) AS t, max(time) AS u,
+           arg_min(shut, time) AS shut_a, arg_max(shut - CAST(blink AS BIGINT), time) AS shut_b,
+           row_number() OVER (PARTITION BY subject, block, trial ORDER BY a) AS k
+         FROM disp_scan JOIN disp_jumps USING (subject, block, trial, a) JOIN disp_pts USING (subject, block, trial)
+         WHERE still AND i BETWEEN a AND stop - 1 GROUP BY subject, block, trial, a, stop),
+       disp_joined AS (
+         SELECT subject, block, trial, k, CAST(1 AS BIGINT) AS f, a, b, fx, fy, t, u, shut_a, shut_b
+         FROM disp_still WHERE k = 1
+         UNION ALL
+         SELECT subject, block, trial, k, CASE WHEN near THEN f ELSE f + 1 END, CASE WHEN near THEN a ELSE a2 END, b2,
+           CASE WHEN near THEN (fx * (b - a) + fx2 * (b2 - a2)) / ((b - a) + (b2 - a2)) ELSE fx2 END,
+           CASE WHEN near THEN (fy * (b - a) + fy2 * (b2 - a2)) / ((b - a) + (b2 - a2)) ELSE fy2 END,
+           CASE WHEN near THEN t ELSE t2 END, u2, CASE WHEN near THEN shut_a ELSE shut_a2 END, shut_b2
+         FROM (SELECT m.*  EXCLUDE (k), w.k, w.a AS a2, w.b AS b2, w.fx AS fx2, w.fy AS fy2, w.t AS t2, w.u AS u2,
+                 w.shut_a AS shut_a2, w.shut_b AS shut_b2, w.shut_a = m.shut_b
+                   AND sqrt((w.fx - m.fx) * (w.fx - m.fx) + (w.fy - m.fy) * (w.fy - m.fy)) < 100 AS near
+               FROM disp_joined m JOIN disp_still w ON w.subject = m.subject AND w.block = m.block
+                 AND w.trial = m.trial AND w.k = m.k + 1)),
+       disp_fix AS (
+         SELECT * FROM disp_joined QUALIFY row_number() OVER (PARTITION BY subject, block, trial, f ORDER BY k DESC) = 1)
+       SELECT subject, block, trial, 'fixation' AS kind, t AS start, u AS "end", round_even(fx, 2) AS x,
+         round_even(fy, 2) AS y, CAST(NULL AS DOUBLE) AS end_x, CAST(NULL AS DOUBLE) AS end_y,
+         CAST(NULL AS BOOLEAN) AS blink FROM disp_fix
+       UNION ALL
+       SELECT subject, block, trial, 'saccade', p.u, q.t, round_even(p.fx, 2), round_even(p.fy, 2),
+         round_even(q.fx, 2), round_even(q.fy, 2), q.shut_a > p.shut_b
+       FROM disp_fix p JOIN disp_fix q USING (subject, block, trial) WHERE q.f = p.f + 1)""",
+)
 def _(spark, sf):
     return gaze.detect_dispersion(views.samples(spark, sf), amplitude=100.0)
 
