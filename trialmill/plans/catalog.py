@@ -1689,7 +1689,41 @@ def _(spark, sf):
     )
 
 
-@query("reject_outlier_values")
+def _trim_values_sql(stop: int, dropped: str) -> str:
+    """Values kept when the places in `dropped` go, again and again."""
+    return f"""
+        (WITH RECURSIVE steps AS (
+           SELECT subject, block, list({{'t': trial, 'x': x}} ORDER BY trial) AS pts, false AS done
+           FROM baselines WHERE x IS NOT NULL GROUP BY subject, block
+           UNION ALL
+           SELECT subject, block, CASE WHEN gone THEN list_filter(pts, lambda p, i: NOT list_contains(away, i)) ELSE pts END,
+             NOT gone
+           FROM (SELECT *, len(pts) > {stop} AND len(away) > 0 AS gone
+                 FROM (SELECT *, {dropped} AS away
+                       FROM (SELECT *, list_transform(list_filter(pts, lambda p, i: i <> lo AND i <> hi), lambda p: p.x) AS others
+                             FROM (SELECT *, list_position(xs, list_min(xs)) AS lo, list_position(xs, list_max(xs)) AS hi
+                                   FROM (SELECT *, list_transform(pts, lambda p: p.x) AS xs FROM steps WHERE NOT done)))))
+         ) SELECT subject, block, unnest(pts).t AS trial, true AS kept FROM steps WHERE done)"""
+
+
+def _beyond(width: str) -> str:
+    return f"list_filter(list_distinct([lo, hi]), lambda i: abs(xs[i] - list_avg(others)) > {width})"
+
+
+_FARTHEST = """CASE WHEN xs[hi] - xs[lo] <= 150 THEN [] ELSE [CASE
+    WHEN xs[hi] - list_avg(xs) > list_avg(xs) - xs[lo] THEN hi
+    WHEN xs[hi] - list_avg(xs) = list_avg(xs) - xs[lo] THEN least(lo, hi) ELSE lo END] END"""
+
+
+@query(
+    "reject_outlier_values",
+    f"""SELECT subject, block, trial, round(x, 6) AS x, round(y, 6) AS y, coalesce(z.kept, false) AS ok_z,
+          coalesce(s.kept, false) AS ok_spread, coalesce(a.kept, false) AS ok_abs
+        FROM baselines
+        LEFT JOIN {_trim_values_sql(3, _beyond("3 * list_aggregate(others, 'stddev_samp')"))} z USING (subject, block, trial)
+        LEFT JOIN {_trim_values_sql(1, _FARTHEST)} s USING (subject, block, trial)
+        LEFT JOIN {_trim_values_sql(2, _beyond("100"))} a USING (subject, block, trial)""",
+)
 def _(spark, sf):
     base = _baselines(spark, sf)
     out = outliers.reject_outlier_values(base, "x", mode="z", limit=3.0, name="ok_z")
