@@ -163,3 +163,29 @@ def test_dispersion(spark):
         (290.0, 300.0, False),
         (590.0, 610.0, True),
     ]
+
+
+def recording(seed, n):
+    """A recording of `n` samples: still stretches of any length, noise, blinks and a long stay at one place."""
+    rng = np.random.default_rng(seed)
+    stays = rng.choice([3, 9, 40, 200], n)
+    x = np.repeat(rng.normal(900, 200, n), stays)[:n] + rng.normal(0, 3, n)
+    y = np.repeat(rng.normal(600, 80, n), stays)[:n] + rng.normal(0, 3, n)
+    x[n // 3 : n // 2], y[n // 3 : n // 2] = 500.0, 400.0
+    blink = rng.random(n) < 0.01
+    blink[n // 3 + 5 : n // 2 - 5] = False
+    return [(4.0 * i, None if b else a, None if b else c, bool(b)) for i, (a, c, b) in enumerate(zip(x, y, blink))]
+
+
+@pytest.mark.parametrize("task_rows", [11, 100])
+def test_recordings_are_cut_without_a_trace(spark, task_rows):
+    df = sample_frame(spark, [recording(1, 400), recording(2, 90), recording(3, 9)])
+    for detect in (gaze.detect_fixations, gaze.detect_saccades):
+        assert rows(detect(df, PPD, task_rows=task_rows)) == rows(detect(df, PPD))
+
+
+def test_cleaning_is_cut_without_a_trace(spark):
+    pupils = [0 if i % 7 == 3 else i for i in range(60)]
+    df = eye_frame(spark, pupils, {0, 3, 6, 7, 20, 59}).withColumn("pupil_r_mm", F.when(F.col("time") % 13 == 4, 0.0).otherwise(3.0))
+    clean = lambda **cut: gaze.mask_blinks(gaze.merge_eyes(gaze.interpolate_gaps(df, **cut)), **cut)
+    assert rows(clean(task_rows=5)) == rows(clean())

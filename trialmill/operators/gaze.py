@@ -1,12 +1,13 @@
 """Gaze samples: alignment, repair, blinks, and fixation and saccade detection.
 
 Windows here are over one trial. The window join bounds a trial to a second and a half of samples, so a
-subject with many trials spreads over many tasks.
+subject with many trials spreads over many tasks. Whole recordings have no such bound: with `task_rows` the groups
+of `keys` are counted, and those above it are cut along the time (see `ordered`), with equal results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .ordered import Lag, LastValue, Lead, NextValue, RunningSum, Spec, with_ordered
+
 TRIAL = ("subject", "block", "trial")
 
 # Measured fields of a gaze sample.
@@ -32,6 +35,11 @@ FIELDS = (
 )
 
 
+def _along(samples: DataFrame, keys: Sequence[str], time: str, specs: Mapping[str, Spec], task_rows: int | None) -> DataFrame:
+    """Ordered columns over trials, or with `task_rows` over recordings of any length."""
+    return with_ordered(samples, keys, [time], specs, task_rows, bounded=task_rows is None)
+
+
 def align_trial(windowed: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
     """Sample times in ms from the first sample of the trial window, to 0.1 ms."""
     first = F.min("time").over(Window.partitionBy(*keys))
@@ -49,16 +57,15 @@ def message_onsets(windowed: DataFrame, messages: DataFrame, keys: Sequence[str]
 
 
 def interpolate_gaps(
-    samples: DataFrame, fields: Sequence[str] = FIELDS, keys: Sequence[str] = TRIAL, time: str = "time"
+    samples: DataFrame,
+    fields: Sequence[str] = FIELDS,
+    keys: Sequence[str] = TRIAL,
+    time: str = "time",
+    task_rows: int | None = None,
 ) -> DataFrame:
     """A single empty sample becomes the mean of its neighbours; the first and last one stay."""
-    order = Window.partitionBy(*keys).orderBy(time)
-    around = samples.withColumns(
-        {
-            "_before": F.lag(F.struct(*fields)).over(order),
-            "_after": F.lead(F.struct(*fields)).over(order),
-        }
-    )
+    now = F.struct(*fields)
+    around = _along(samples, keys, time, {"_before": Lag(now), "_after": Lead(now)}, task_rows)
     total = F.col(fields[0])
     for f in fields[1:]:
         total = total + F.col(f)
@@ -91,19 +98,20 @@ def mask_blinks(
     offsets: Sequence[int] = (-2, 0, 2),
     keys: Sequence[str] = TRIAL,
     time: str = "time",
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Blink flag, spread to the given neighbours; the position in a blink is NULL."""
-    order = Window.partitionBy(*keys).orderBy(time)
     closed = (F.col("pupil_l_mm") == 0) | (F.col("pupil_r_mm") == 0)
     flagged = samples.withColumn("_closed", F.coalesce(closed, F.lit(False)))
-    spread = F.lit(False)
-    for k in offsets:
-        near = F.col("_closed") if k == 0 else (F.lag if k < 0 else F.lead)("_closed", abs(k), False).over(order)
-        spread = spread | near
+    near = {f"_near{n}": (Lag if k < 0 else Lead)(F.col("_closed"), abs(k)) for n, k in enumerate(offsets) if k}
+    around = _along(flagged, keys, time, near, task_rows) if near else flagged
+    spread = F.col("_closed") if 0 in offsets else F.lit(False)
+    for c in near:
+        spread = spread | F.coalesce(c, F.lit(False))
     return (
-        flagged.withColumn("blink", spread)
+        around.withColumn("blink", spread)
         .withColumns({a: F.when(~F.col("blink"), F.col(a)) for a in ("x", "y")})
-        .drop("_closed")
+        .drop("_closed", *near)
     )
 
 
@@ -115,6 +123,7 @@ def gaze_runs(
     refractory: float = 50.0,
     keys: Sequence[str] = TRIAL,
     time: str = "time",
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Alternating runs of saccade and fixation samples in each trial.
 
@@ -123,37 +132,30 @@ def gaze_runs(
     ones belongs to the saccade exactly when these two are that close, so the last flagged time before and
     the next one after decide, and no interval has to be joined back.
     """
-    order = Window.partitionBy(*keys).orderBy(time)
-    backward = Window.partitionBy(*keys).orderBy(F.col(time).desc())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = backward.rowsBetween(Window.unboundedPreceding, -1)
-    t = F.col(time)
-
-    moved = samples.select(
+    t, here = F.col(time), F.struct(F.col(time).alias("t"), "x", "y")
+    placed = samples.select(
         *keys, time, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), "blink"
-    ).withColumns(
-        {
-            "_before": F.lag(F.struct(t.alias("t"), "x", "y")).over(order),
-            "_after": F.lead(F.struct("x", "y")).over(order),
-        }
-    )
-    step = (t - F.col("_before.t")) / 1000.0
-    dx = (F.col("x") - F.col("_before.x")) / px_per_degree
-    dy = (F.col("y") - F.col("_before.y")) / px_per_degree
-    speed = F.when(F.col("_before").isNull(), 0.0).otherwise(F.sqrt(dx * dx + dy * dy) / step)
-    timed = moved.withColumns({"_step": step, "_speed": speed}).withColumn(
-        "_gain", F.coalesce((F.col("_speed") - F.lag("_speed").over(order)) / F.col("_step"), F.lit(0.0))
-    )
-    flag = (F.col("_speed") > velocity) | (F.col("_gain") > acceleration) | F.col("blink")
-    flagged = timed.withColumn("_flagged_at", F.when(flag, t)).withColumn(
-        "_last", F.last("_flagged_at", ignorenulls=True).over(before)
     )
+    specs = {"_before": Lag(here), "_earlier": Lag(here, 2), "_after": Lead(F.struct("x", "y"))}
+    moved = _along(placed, keys, time, specs, task_rows)
+
+    def seconds(now: Column, then: Column) -> Column:
+        return (now["t"] - then["t"]) / 1000.0
+
+    def speed(now: Column, then: Column) -> Column:
+        dx, dy = ((now[a] - then[a]) / px_per_degree for a in ("x", "y"))
+        return F.when(then.isNull(), 0.0).otherwise(F.sqrt(dx * dx + dy * dy) / seconds(now, then))
+
+    before, fast = F.col("_before"), speed(here, F.col("_before"))
+    gain = F.coalesce((fast - speed(before, F.col("_earlier"))) / seconds(here, before), F.lit(0.0))
+    flag = (fast > velocity) | (gain > acceleration) | F.col("blink")
+    flagged = moved.withColumn("_flagged_at", F.when(flag, t)).drop("_earlier")
+    near = {"_last": LastValue(F.col("_flagged_at"), strict=True), "_next": NextValue(F.col("_flagged_at"))}
+    dated = _along(flagged, keys, time, near, task_rows)
     starts = F.col("_flagged_at").isNotNull() & (
         F.col("_last").isNull() | (t - F.col("_last") >= refractory)
     )
-    numbered = flagged.withColumn(
-        "run", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_next", F.last("_flagged_at", ignorenulls=True).over(after))
+    numbered = _along(dated, keys, time, {"run": RunningSum(starts.cast("int"))}, task_rows)
     saccade = F.col("_flagged_at").isNotNull() | F.coalesce(
         F.col("_next") - F.col("_last") < refractory, F.lit(False)
     )

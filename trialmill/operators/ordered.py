@@ -53,6 +53,13 @@ class LastValue:
     strict: bool = False
 
 
+@dataclass(frozen=True)
+class NextValue:
+    """First value that is not missing, after the row."""
+
+    value: Column
+
+
 @dataclass(frozen=True)
 class Lag:
     """Value of the row `offset` rows before."""
@@ -69,7 +76,7 @@ class Lead:
     offset: int = 1
 
 
-Spec = RunningSum | RowNumber | LastValue | Lag | Lead
+Spec = RunningSum | RowNumber | LastValue | NextValue | Lag | Lead
 
 
 def _position(df: DataFrame, column: str) -> Column | None:
@@ -190,7 +197,8 @@ def with_ordered(
     cut = cut_large_groups(df.withColumns(inputs) if inputs else df, keys, order, large, task_rows)
     chunked = cut.repartition(*keys, CHUNK)
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = {f"_local_{n}": _over(s, F.col(f"_in_{n}"), window, boxed=True) for n, s in specs.items()}
+    backward = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
+    local = {f"_local_{n}": _over(s, F.col(f"_in_{n}"), window, backward, boxed=True) for n, s in specs.items()}
     if any(isinstance(s, (Lag, Lead)) and s.offset > 1 for s in specs.values()):
         local["_rank"] = F.row_number().over(window)
         local["_size"] = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK))
@@ -204,7 +212,7 @@ def with_ordered(
     return joined.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
 
 
-def _over(spec: Spec, value: Column, window: WindowSpec, boxed: bool = False) -> Column:
+def _over(spec: Spec, value: Column, window: WindowSpec, backward: WindowSpec, boxed: bool = False) -> Column:
     """The spec as a window function. Boxed neighbours tell a missing value from a missing row."""
     box = F.struct if boxed else lambda c: c
     match spec:
@@ -218,6 +226,9 @@ def _over(spec: Spec, value: Column, window: WindowSpec, boxed: bool = False) ->
             return F.last(value, ignorenulls=True).over(
                 window.rowsBetween(Window.unboundedPreceding, until)
             )
+        case NextValue():
+            # a frame that ends at the row is filled as rows come; one that begins there is read anew for each row
+            return F.last(value, ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
         case Lag(offset=k):
             return F.lag(box(value), k).over(window)
         case Lead(offset=k):
@@ -226,8 +237,9 @@ def _over(spec: Spec, value: Column, window: WindowSpec, boxed: bool = False) ->
 
 def _plain(df: DataFrame, keys: list[str], order: Sequence[str], specs: Mapping[str, Spec]) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
+    backward = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     values = {n: F.lit(1) if isinstance(s, RowNumber) else s.value for n, s in specs.items()}
-    return df.select("*", *[_over(s, values[n], window).alias(n) for n, s in specs.items()])
+    return df.select("*", *[_over(s, values[n], window, backward).alias(n) for n, s in specs.items()])
 
 
 def _combine(name: str, spec: Spec) -> Column:
@@ -235,7 +247,7 @@ def _combine(name: str, spec: Spec) -> Column:
     match spec:
         case RunningSum() | RowNumber():
             return own + F.coalesce(carry, F.lit(0))
-        case LastValue():
+        case LastValue() | NextValue():
             return F.coalesce(own, carry)
         case Lag(offset=k):
             # the carried list ends with the row just before the chunk
@@ -267,6 +279,8 @@ def _carry(cut: DataFrame, keys: list[str], order: list[str], specs: Mapping[str
                 part = F.sum(value)
             case LastValue():
                 part = F.max_by(value, F.when(value.isNotNull(), rank))
+            case NextValue():
+                part = F.min_by(value, F.when(value.isNotNull(), rank))
             case Lag(offset=k) | Lead(offset=k):
                 lag = isinstance(spec, Lag)
                 boxed = F.struct(value.alias(f"_in_{name}"))
@@ -282,6 +296,7 @@ def _carry(cut: DataFrame, keys: list[str], order: list[str], specs: Mapping[str
 
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name, spec in specs.items():
         part = F.col(f"_part_{name}")
@@ -290,6 +305,8 @@ def _carry(cut: DataFrame, keys: list[str], order: list[str], specs: Mapping[str
                 value = F.sum(part).over(before)
             case LastValue():
                 value = F.last(part, ignorenulls=True).over(before)
+            case NextValue():
+                value = F.last(part, ignorenulls=True).over(after)
             case Lag(offset=k):
                 # every chunk holds a row, so the last k chunks hold the last k rows
                 value = F.flatten(F.collect_list(part).over(along.rowsBetween(-k, -1)))

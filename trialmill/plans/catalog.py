@@ -12,7 +12,7 @@ from ..functions import distributions as dist
 from ..functions import geometry as geo
 from ..functions import strings as text
 from ..operators import anova as anovas
-from ..operators import epochs, fixations, gaze, joins, markers, outliers, roi, scales, shaping
+from ..operators import epochs, fixations, gaze, joins, markers, ordered, outliers, roi, scales, shaping
 from ..operators import statistics as stats
 from ..operators import summaries as summ
 from ..operators import trials
@@ -1559,6 +1559,33 @@ def _(spark, sf):
     return gaze.detect_fixations(views.samples(spark, sf), views.PPD)
 
 
+def _recording_options() -> dict:
+    return {"keys": views.RECORDING, "task_rows": ordered.TASK_ROWS}
+
+
+@query("recording_samples", "SELECT recording, time, round(x, 6) AS x, round(y, 6) AS y, blink FROM rec_samples")
+def _(spark, sf):
+    return views.recordings(spark, sf)
+
+
+@query(
+    "recording_saccades",
+    """SELECT recording, start, "end", round_even(origin.x, 2) AS start_x, round_even(origin.y, 2) AS start_y,
+       round_even(target.x, 2) AS end_x, round_even(target.y, 2) AS end_y, blink
+       FROM rec_runs WHERE saccade AND NOT at_edge""",
+)
+def _(spark, sf):
+    return gaze.detect_saccades(views.recordings(spark, sf), views.PPD, **_recording_options())
+
+
+@query(
+    "recording_fixations",
+    """SELECT recording, start, "end", round_even(x, 2) AS x, round_even(y, 2) AS y FROM rec_runs WHERE NOT saccade""",
+)
+def _(spark, sf):
+    return gaze.detect_fixations(views.recordings(spark, sf), views.PPD, **_recording_options())
+
+
 @query(
     "detect_dispersion",
     """SELECT * FROM (WITH RECURSIVE

@@ -333,6 +333,24 @@ VIEWS: dict[str, str] = {
 }
 
 
+#: The cleaning of gaze and the detection once more over recordings without trials.
+_RECORDED = "interpolated merged samples speeds flags islands runs".split()
+
+
+def _recorded(name: str) -> str:
+    text = VIEWS[name].replace("subject, block, trial", "recording")
+    for view in ["raw_samples", *_RECORDED]:
+        text = re.sub(rf"\bFROM {view}\b", f"FROM rec_{view}", text)
+    return text
+
+
+VIEWS["rec_raw_samples"] = f"""
+        SELECT left(subject, 1) AS recording, {", ".join(_FIELDS)},
+          CAST(((CAST(substr(subject, 2) AS BIGINT) // 2) * 40 + (block - 1) * 20 + (trial - 1) % 20) * 640 + time AS DOUBLE) AS time
+        FROM raw_samples"""
+VIEWS |= {f"rec_{name}": _recorded(name) for name in _RECORDED}
+
+
 def with_views(query: str) -> str:
     """The query with the views it needs, in order."""
     needed: set[str] = set()

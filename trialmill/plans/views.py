@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import MEASURED
 from ..functions.strings import paradigm_of
 from ..operators import epochs as epoch_ops
-from ..operators import gaze, trials
+from ..operators import gaze, ordered, trials
 from ..operators.ordered import RowNumber, with_ordered
 
 DAY_US = 86_400_000_000
@@ -233,6 +233,25 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("subject", "block", "trial", "time", "x", "y", "blink")
 
 
+def raw_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of both eyes as two recordings without trials: the sessions of a group follow one another."""
+    session = F.regexp_extract("subject", r"(\d+)$", 1).cast("long")
+    place = (session - session % 2) * 20 + (F.col("block") - 1) * 20 + (F.col("trial") - 1) % 20
+    return raw_samples(spark, sf_dir).select(
+        F.substring("subject", 1, 1).alias("recording"), (place * 640 + F.col("time")).cast("double").alias("time"), *gaze.FIELDS
+    )
+
+
+RECORDING = ["recording"]
+
+
+def recordings(spark: SparkSession, sf_dir: str, task_rows: int | None = None) -> DataFrame:
+    """Cleaned gaze of the recordings."""
+    options = {"keys": RECORDING, "task_rows": task_rows or ordered.TASK_ROWS}
+    cleaned = gaze.mask_blinks(gaze.merge_eyes(gaze.interpolate_gaps(raw_recordings(spark, sf_dir), **options)), **options)
+    return cleaned.select("recording", "time", "x", "y", "blink")
+
+
 PPD = MEASURED.px_per_degree
 
 
