@@ -12,7 +12,7 @@ from ..functions import distributions as dist
 from ..functions import geometry as geo
 from ..functions import strings as text
 from ..operators import anova as anovas
-from ..operators import epochs, fixations, gaze, joins, markers, ordered, outliers, roi, scales, shaping
+from ..operators import dispersion, epochs, fixations, gaze, joins, markers, ordered, outliers, roi, scales, shaping
 from ..operators import statistics as stats
 from ..operators import summaries as summ
 from ..operators import trials
@@ -1586,6 +1586,11 @@ def _(spark, sf):
     return gaze.detect_fixations(views.recordings(spark, sf), views.PPD, **_recording_options())
 
 
+@query("recording_dispersion")
+def _(spark, sf):
+    return dispersion.detect_dispersion_recordings(views.recordings(spark, sf), amplitude=100.0, keys=views.RECORDING)
+
+
 @query(
     "detect_dispersion",
     """SELECT * FROM (WITH RECURSIVE
