@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmill.operators import joins, shaping, summaries, trials
+from trialmill.plans import views
 
 from conftest import rows
 
@@ -233,3 +234,23 @@ def test_quantiles_of_nothing_and_of_extremes(spark):
     out = {r.prob: r.value for r in summaries.quantiles(df, "v", [0.25, 0.5], part_values=1).collect()}
     assert out == {0.25: -1.0, 0.5: 2.0}
     assert math.isnan(summaries.quantiles(df, "v", [1.0]).first().value)
+
+
+def test_packed_masks_answer_like_cells(spark):
+    rng = np.random.default_rng(3)
+    cells = [(int(p), int(r), int(c), k) for k in ("in", "out") for p, r, c in rng.integers((0, -3, -130), (3, 5, 400), (900, 3))]
+    schema = "roi_id int, row int, col int, kind string"
+    masks = spark.createDataFrame([*cells, *cells[:50], (0, 0, None, "in"), (None, 0, 0, "in"), (1, 1, 1, "other")], schema)
+    looked = [(int(p), int(r), int(c)) for p, r, c in rng.integers((0, -4, -200), (4, 6, 460), (4000, 3))]
+    looked += [(p, r, c) for p, r, c, _ in cells] + [(0, 0, None), (None, 0, 0), (0, None, 5)]
+    df = spark.createDataFrame([(*at, "x") for at in looked], "roi_id int, row int, col int, kind string")
+    want = sorted((str(at), *[(*at, k) in cells and None not in at for k in ("in", "out")]) for at in looked)
+    packed = joins.pack_masks(masks, ["in", "out"])
+    for table in (masks, packed):
+        found = joins.roi_lookup(df, table, ["in", "out"]).collect()
+        assert sorted((str((r.roi_id, r.row, r.col)), r.in_in, r.in_out) for r in found) == want
+
+
+def test_masks_shrink_fiftyfold(spark):
+    masks = views.masks(spark, "")
+    assert joins.pack_masks(masks, ["diagnostic", "non_diagnostic"]).count() * 50 <= masks.count()

@@ -142,18 +142,37 @@ def interval_overlap_join(
     )
 
 
+def pack_masks(masks: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Masks with one row per picture row: `roi_id`, `row`, and `words`, the bits of 64 columns by their place.
+
+    `masks` is a table of set cells (`roi_id`, `row`, `col`, `kind`). Cells that repeat count once, cells without a
+    column not at all.
+    """
+    bit = F.expr("shiftleft(1L, CAST(pmod(col, 64) AS INT))")
+    words = (
+        masks.where(F.col("col").isNotNull() & F.col("kind").isin(*kinds))
+        .groupBy("roi_id", "row", F.floor(F.col("col") / 64).alias("place"))
+        .agg(*[F.coalesce(F.bit_or(F.when(F.col("kind") == k, bit)), F.lit(0).cast("long")).alias(k) for k in kinds])
+    )
+    entry = F.struct("place", F.struct(*kinds))
+    return words.groupBy("roi_id", "row").agg(F.map_from_entries(F.collect_list(entry)).alias("words"))
+
+
 def roi_lookup(
     fixations: DataFrame, masks: DataFrame, kinds: Sequence[str], roi: str = "roi_id", row: str = "row", col: str = "col"
 ) -> DataFrame:
     """Is the cell of a fixation set in the mask of each kind? Cells outside every mask are not.
 
-    Masks are tables of set cells, with one join for all kinds.
+    `masks` are set cells or what `pack_masks` makes of them. A fixation meets one row of its picture for all kinds
+    and reads its bit there, so the masks are a few hundred rows, which a plan hands to all tasks by their size.
     """
-    cells = masks.groupBy(
-        F.col("roi_id").alias(roi), F.col("row").alias(row), F.col("col").alias(col)
-    ).agg(*[F.max(F.col("kind") == k).alias(f"in_{k}") for k in kinds])
-    found = fixations.join(cells, [roi, row, col], "left")
-    return found.withColumns({f"in_{k}": F.coalesce(f"in_{k}", F.lit(False)) for k in kinds})
+    packed = masks if "words" in masks.columns else pack_masks(masks, kinds)
+    packed = packed.select(F.col("roi_id").alias(roi), F.col("row").alias(row), F.col("words").alias("_words"))
+    found = fixations.join(packed, [roi, row], "left")
+    word = F.try_element_at("_words", F.floor(F.col(col) / 64))
+    place = F.pmod(F.col(col), F.lit(64)).cast("int")
+    bits = {f"in_{k}": F.coalesce(F.call_function("shiftrightunsigned", word[k], place).bitwiseAND(1) == 1, F.lit(False)) for k in kinds}
+    return found.withColumns(bits).drop("_words")
 
 
 def global_extreme_filter(df: DataFrame, cols: Sequence[str], which: str = "both") -> DataFrame:
