@@ -18,7 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate, chain, count
-from typing import Any, NamedTuple
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -31,22 +31,18 @@ from .shared import held, slices, stage
 
 #: Words (of two generations each) and groups that a worker remembers, the longest taken over,
 #: texts cut and words aligned at once.
-REMEMBERED, REMEMBERED_CHARS, TOGETHER, AT_ONCE = 100_000, 48, 64, 64
+REMEMBERED, REMEMBERED_CHARS, TOGETHER, AT_ONCE = 200_000, 48, 64, 32
 #: Different pairs in one row, and links of a block of documents that meets its counts in one group.
 ROW_PAIRS, BLOCK_LINKS = 500_000, 1_000_000
 #: A space where both tokenizers begin a token: after something else than a space, before a letter, digit or sign.
 CUT = re.compile(r"(?<=[^ ▁]) (?=[\w!-/:-@\[-`{-~])")
+#: A stretch that may follow another one so.
+JOINS = re.compile(r" [\w!-/:-@\[-`{-~]")
 
 
-class Word(NamedTuple):
-    """A stretch of a text with its tokens aligned."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    #: a * n + b of each link, as packed 64-bit integers
-    links: bytes
+#: A stretch of a text with its tokens aligned: numbers of tokens of either kind and of groups, how the groups are
+#: written, and a * n + b of each link as packed 64-bit integers. Plain tuples, which the garbage collector lets be.
+Word = tuple[int, int, int, str, bytes]
 
 
 def slices_of(a_sizes: Iterable[int], b_sizes: Iterable[int]) -> dict[int, tuple[int, int]]:
@@ -96,6 +92,7 @@ class Aligner:
         self.n_b = len(self.b_bytes)
         self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.groups: dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[str, array]] = {}
+        self.single: dict[int, str] = {}
         self.known: dict[str, Word | None] = {}
         self.before: dict[str, Word | None] = {}
 
@@ -107,53 +104,61 @@ class Aligner:
             self.known = {}
         known, before = self.known, self.before
         new = []
-        for word in {w for words in texts for w in words if w not in known}:
+        for word in set(chain.from_iterable(texts)).difference(known):
             if word in before:
                 known[word] = before[word]
-            else:
+            elif JOINS.match(word) and word[-1] not in " ▁":
                 new.append(word)
-        a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        b = self.b.encode([w[1:] for w in new], num_threads=1)
+            else:
+                known[word] = self.aligned([word])[0]
         for start in range(0, len(new), AT_ONCE):  # few enough for what is made of them to stay in the processor's cache
-            some = slice(start, start + AT_ONCE)
-            known.update(zip(new[some], self.aligned([w.encode() for w in new[some]], [x.ids for x in a[some]], b[some])))
+            some = new[start : start + AT_ONCE]
+            known.update(zip(some, self.aligned(some)))
         return known
 
-    def aligned(self, data: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Word | None]:
-        """Stretches with their ids aligned, all in one go: the end of a stretch is an end of both lists."""
-        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-        whole = b"".join(data)
+    def aligned(self, words: list[str]) -> list[Word | None]:
+        """Stretches aligned, read by the tokenizers as one text, in which each of them is a stretch again."""
+        whole = "".join(words)
+        data = whole.encode()
+        flat_a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        flat_b = self.b.encode(whole[1:])
         sizes_a, sizes_b = [self.a_sizes[i] for i in flat_a], [self.b_sizes[i] for i in flat_b]
-        ends = list(accumulate(map(len, data)))
         cuts = slices_of(sizes_a, sizes_b) if sum(sizes_a) == sum(sizes_b) else {}
-        same = b"".join(map(self.a_bytes.__getitem__, flat_a)) == whole == b"".join(map(self.b_bytes.__getitem__, flat_b))
-        if not same or any(cuts.get(end) != there for end, there in zip(ends, zip(accumulate(map(len, a)), accumulate(map(len, b))))):
-            good = [k for k, d in enumerate(data) if self._gives(self.a_bytes, a[k], d) and self._gives(self.b_bytes, b[k], d)]
-            out: list[Word | None] = [None] * len(data)
-            if len(good) < len(data):  # once more without those that do not come back
-                for k, made in zip(good, self.aligned(*([x[k] for k in good] for x in (data, a, b)))):
-                    out[k] = made
-            return out
-        known, told, linked, behind, i, j = self.groups.get, [], array("q"), [], 0, 0
+        ends = list(accumulate(map(len, map(str.encode, words))))
+        same = b"".join(map(self.a_bytes.__getitem__, flat_a)) == data == b"".join(map(self.b_bytes.__getitem__, flat_b))
+        if not same or not all(map(cuts.__contains__, ends)):
+            # some do not come back: halves, down to those
+            half = len(words) // 2
+            return [*self.aligned(words[:half]), *self.aligned(words[half:])] if half else [None]
+        known, single, n_b = self.groups.get, self.single.get, self.n_b
+        told, linked, behind, i, j = [], array("q"), [], 0, 0
         for to_i, to_j in cuts.values():
-            key = tuple(flat_a[i:to_i]), tuple(flat_b[j:to_j])
-            found = known(key) or self._group(*key)
-            told.append(found[0])
-            linked.extend(found[1])
+            if to_i - i == 1 == to_j - j:
+                link = flat_a[i] * n_b + flat_b[j]
+                told.append(single(link) or self._single(link))
+                linked.append(link)
+            else:
+                key = tuple(flat_a[i:to_i]), tuple(flat_b[j:to_j])
+                found = known(key) or self._group(*key)
+                told.append(found[0])
+                linked.extend(found[1])
             behind.append(len(linked))
             i, j = to_i, to_j
         place = dict(zip(cuts, count(1)))
-        words, packed, group, link = [], linked.tobytes(), 0, 0
-        for x, y, end in zip(a, b, ends):
-            to_group = place[end]
+        out, packed, group, link, i, j = [], linked.tobytes(), 0, 0, 0, 0
+        for end in ends:
+            to_group, (to_i, to_j) = place[end], cuts[end]
             to_link = behind[to_group - 1]
-            words.append(Word(len(x), len(y), to_group - group, ";".join(told[group:to_group]), packed[8 * link : 8 * to_link]))
-            group, link = to_group, to_link
-        return words
-
-    @staticmethod
-    def _gives(bytes_of: list[bytes], ids: list[int], data: bytes) -> bool:
-        return b"".join([bytes_of[i] for i in ids]) == data
+            out.append((to_i - i, to_j - j, to_group - group, ";".join(told[group:to_group]), packed[8 * link : 8 * to_link]))
+            group, link, i, j = to_group, to_link, to_i, to_j
+        return out
+
+    def _single(self, link: int) -> str:
+        """How a group of one token of either kind is written."""
+        if len(self.single) >= REMEMBERED:
+            self.single.clear()
+        made = self.single[link] = f"{link // self.n_b}|{link % self.n_b}"
+        return made
 
     def _group(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, array]:
         """How a group is written, and its links."""
