@@ -1,6 +1,9 @@
 import hashlib
 
-from trialmill.llm import chat_prefix
+import pytest
+from pyspark.sql import functions as F
+
+from trialmill.llm import chat_prefix, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, example long"
 HARD = [
@@ -53,3 +56,30 @@ def test_a_long_conversation_streams(spark):
     turns = [(3, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(5_000)]
     examples = chat_prefix.expand(check(spark, turns))
     assert examples.count() == 2_500 and max(len(r.added) for r in examples.collect()) < 100
+
+
+def test_digests_come_from_the_contexts_written_out(spark):
+    turns = [(c, k, "assistant" if k % 3 else "user", f"{t}{k}") for c in range(3) for k, t in enumerate(HARD * c)]
+    turns += [(5, 0, "user", "no reply"), (6, 0, "assistant", "only"), (6, 1, "user", "left"), (None, 0, "assistant", "no id")]
+    examples = chat_prefix.expand(check(spark, turns))
+    full = chat_prefix.materialise(examples, rest=True)
+    assert sorted(map(repr, chat_prefix.read_examples(full).collect())) == sorted(map(repr, chat_prefix.read_back(examples).collect()))
+    assert full.where("target IS NULL").count() == 2 + len({c for c in range(1, 3) if (len(HARD) * c - 1) % 3 == 0})
+    # an example whose context was not written out is found
+    with pytest.raises(Exception, match="does not begin"):
+        short = F.when(F.col("example") == 2, F.concat(F.lit("### "), F.col("context"))).otherwise(F.col("context"))
+        chat_prefix.read_examples(full.withColumn("context", short)).collect()
+
+
+def test_the_query_writes_contexts_out(spark, monkeypatch, tmp_path):
+    data = [(c, k, "assistant" if k % 2 else "user", "t" * k) for c in range(3) for k in range(9)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    seen = []
+    whole = chat_prefix.materialise
+    monkeypatch.setattr(chat_prefix, "materialise", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
+    got = {r.conv_id: r for r in queries.op6_chat_prefix(spark, str(tmp_path)).collect()}
+    (full,) = seen
+    chars = "sum(length(context) + coalesce(length(target), 0) + coalesce(length(closing), 0))"
+    for r in full.groupBy("conv_id").agg(F.expr(chars).alias("n")).collect():
+        assert got[r.conv_id].formatted_chars == r.n
+    assert set(got) == {-7, 0, 1, 2}

@@ -2,8 +2,8 @@
 
 Every assistant turn becomes an example: all turns before it are its context, and only its own text is trained
 on. The contexts of one conversation are prefixes of each other, so an example stores what its context adds to
-the example before (`added`) and how long the shared part is (`prefix_chars`). That keeps the output linear in
-the input for conversations of any length; `materialise` writes the contexts out in full.
+the example before (`added`) and how long the shared part is (`prefix_chars`). That keeps what is shuffled and
+stored linear in the input; `materialise` writes the contexts out in full, and `read_examples` reads them back.
 
 Turns read `### role: text </turn>` and a line break. Control strings inside texts are escaped with a backslash,
 so a text that holds a marker never looks like one and comes back unchanged.
@@ -101,10 +101,10 @@ class _Rows:
             yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _records(batches: Iterator[pa.RecordBatch], most: int = 1_000) -> Iterator[tuple]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 1_000):
-            yield from zip(*[c.to_pylist() for c in batch.slice(start, 1_000).columns])
+        for start in range(0, batch.num_rows, most):
+            yield from zip(*[c.to_pylist() for c in batch.slice(start, most).columns])
 
 
 _EXAMPLE_SCHEMA = pa.schema(
@@ -132,11 +132,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
-def materialise(examples: DataFrame) -> DataFrame:
+def materialise(examples: DataFrame, rest: bool = False) -> DataFrame:
     """Training rows with full contexts: conv_id, example, context, target, closing.
 
     Takes the sorted output of `expand` and needs no shuffle. Contexts written out grow with the square of a
-    conversation's length; that is the format, not the join. Rows without a target are left out.
+    conversation's length; that is the format, not the join. Rows without a target are left out; with `rest` they
+    follow with the turns after the last reply as their context and nothing else, so that no turn is lost.
     """
     schema = "conv_id long, example long, context string, target string, closing string"
     kept = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("context", pa.string()), ("target", pa.string()), ("closing", pa.string())])
@@ -149,8 +150,11 @@ def materialise(examples: DataFrame) -> DataFrame:
                 current, context = conv, []
             context.append(added)
             if target is not None:
-                yield from out.add(conv, example, "".join(context), target, closing)
-                context += [target, closing]
+                whole = "".join(context)
+                yield from out.add(conv, example, whole, target, closing)
+                context = [whole, target, closing]
+            elif rest:
+                yield from out.add(conv, example, added, None, None)
         yield from out.flush()
 
     return examples.mapInArrow(run, schema)
@@ -168,6 +172,12 @@ def _turns(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(END)
 
 
+_SUMS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_SUMS_SCHEMA = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
+
+
 def read_back(examples: DataFrame) -> DataFrame:
     """Parse the sorted output of `expand` and sum it up per conversation.
 
@@ -175,13 +185,9 @@ def read_back(examples: DataFrame) -> DataFrame:
     loss_sha256 (all text under the loss mask, unescaped) and formatted_chars (characters of all examples with
     their contexts written out, and of turns after the last reply). Digests are fed row by row.
     """
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    kept = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-    )
 
     def run(batches):
-        out = _Rows(kept)
+        out = _Rows(_SUMS_SCHEMA)
         current, state = _NEW, None
         for conv, _, prefix, added, target, closing in _records(batches):
             if conv != current:
@@ -193,7 +199,36 @@ def read_back(examples: DataFrame) -> DataFrame:
             yield from out.add(current, *state.row())
         yield from out.flush()
 
-    return examples.mapInArrow(run, schema)
+    return examples.mapInArrow(run, _SUMS)
+
+
+def read_examples(rows: DataFrame) -> DataFrame:
+    """What `read_back` returns, from the output of `materialise` with `rest`: the written-out examples.
+
+    Every example must begin with the whole example before it, else this raises an error. So each turn is parsed
+    where it first appears, and the worker holds two examples.
+    """
+
+    def run(batches):
+        out = _Rows(_SUMS_SCHEMA)
+        current, state, before = _NEW, None, ""
+        for conv, _, context, target, closing in _records(batches, 16):
+            if conv != current:
+                if state:
+                    yield from out.add(current, *state.row())
+                current, state, before = conv, _Digest(), ""
+            if target is None:
+                state.feed(0, context, None, None)
+            elif not context.startswith(before):
+                raise ValueError(f"an example of conversation {conv} does not begin with the one before")
+            else:
+                state.feed(len(before), context[len(before) :], target, closing)
+                before = context + target + closing
+        if state:
+            yield from out.add(current, *state.row())
+        yield from out.flush()
+
+    return rows.mapInArrow(run, _SUMS)
 
 
 class _Digest:

@@ -63,7 +63,7 @@ def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from its examples."""
+    """Digests of every conversation, read back from its examples with their contexts written out."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
     own = spark.range(2).select(
@@ -72,7 +72,7 @@ def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hard).alias("text"),
     )
-    return chat_prefix.read_back(chat_prefix.expand(turns.unionByName(own)))
+    return chat_prefix.read_examples(chat_prefix.materialise(chat_prefix.expand(turns.unionByName(own)), rest=True))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
