@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmill.operators import gaze, markers
+from trialmill.plans import catalog
 from trialmill.sources import lines, logs, tables
 
 from conftest import rows
@@ -199,3 +200,58 @@ def test_marker_files_of_a_broken_run_are_written_again(spark, tmp_path):
     assert {p: p.stat().st_mtime_ns for p in target.glob("subject=b01/*")} == kept
     back = logs.scan_markers(spark, str(target))
     assert rows(back.select("subject", "value")) == [("b01", 6), ("b01", 88), ("b02", 6), ("b02", 88)]
+
+
+def test_packed_recordings_are_files(spark, tmp_path, splits):
+    path, codes = str(tmp_path / "log"), ["a05_1", "b 7+%41=x\t$1", "empty", "a05_0"]
+    at = spark.range(300).select(F.col("id").alias("line"), F.concat(F.lit("row\t"), "id").alias("text"))
+    body = at.crossJoin(spark.createDataFrame([(c,) for c in codes if c != "empty"], "code string")).repartition(5)
+    told = [(0, "no code", None), (0, None, "a05_1"), (300, "one\r\ntwo\n", "a05_1"), (301, "three\rfour\r", "a05_1")]
+    body = body.unionByName(spark.createDataFrame(told, "line long, text string, code string"))
+    head = spark.createDataFrame([(c, i, f"head {i}") for c in codes for i in (1, 0, 2)], "code string, line int, text string")
+    lines.write_lines(body, path, head, packed=True)
+    assert len(list((tmp_path / "log").rglob("part-*"))) < 5 * len(codes)
+    last = {"empty": [], "a05_1": [f"row\t{i}" for i in range(300)] + ["one", "two", "", "three", "four"]}
+    for skip in (0, 3, 5):
+        df = lines.read_lines(spark, path, "*.log", ["_0"], skip=skip)
+        top = lines.read_lines(spark, path, "*.log", ["_0"], skip=skip, keep=True)
+        for code in codes[:3]:
+            whole = [f"head {i}" for i in range(3)] + last.get(code, [f"row\t{i}" for i in range(300)])
+            for found, want in ((df, whole[skip:]), (top, whole[:skip])):
+                assert [r.text for r in found.where(F.col("code") == code).orderBy("line").collect()] == want
+        assert df.where(F.col("code") == "a05_0").count() == 0
+        assert df.groupBy("file", "line").count().where("count > 1").count() == 0
+
+
+def test_packed_recordings_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows_of = lambda *told: spark.createDataFrame(told, "code string, line long, text string")
+    lines.write_lines(rows_of(("a", 1, "old"), ("a", 2, "old"), ("b", 1, "kept")), path, packed=True)
+    with pytest.raises(Exception, match="already exists"):
+        lines.write_lines(rows_of(("a", 1, "new")), path, packed=True)
+    for text in ("newer", "new"):
+        lines.write_lines(rows_of(("a", 1, text), ("c", 1, text)), path, mode="replace", packed=True)
+    assert rows(lines.read_lines(spark, path).select("code", "text")) == [("a", "new"), ("b", "kept"), ("c", "new")]
+
+
+def test_packed_marker_files_are_written_once(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for code in ("b01", "b02"):
+        (source / f"{code}.vmrk").write_text(MARKER_HEAD + "Mk2=Stimulus,S 17,100,1,0\nMk9=Stimulus,S 88,350,1,0\n")
+    plan = spark.createDataFrame([("b01", 1, 100), ("b02", 1, 100)], "subject string, trial long, soa int")
+    fixed = markers.recode_dual_markers(markers.repair_markers(logs.scan_markers(spark, str(source))), plan)
+    for some in (fixed.where("subject = 'b01'"), fixed, fixed):
+        tables.write_markers(spark, some, str(source), target, packed=True)
+    got = lines.read_lines(spark, target).orderBy("code", "line").select("code", "text").collect()
+    text = (MARKER_HEAD + "Mk2=Stimulus,S6,100,1,0\nMk3=Stimulus,S88,350,1,0\n").splitlines()
+    assert [tuple(r) for r in got] == [(c, t) for c in ("b01", "b02") for t in text]
+
+
+def test_many_recordings_make_few_files(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "new_path", lambda _, label: made.append(str(tmp_path / label)) or made[-1])
+    told = spark.range(400).select(F.col("id").cast("string").alias("code"), F.col("id").alias("line"), F.lit("x").alias("text"))
+    path = catalog._recordings(spark, "many", told, ["head"])
+    assert sum(p.is_file() for p in (tmp_path / "many").rglob("*")) < 100
+    assert lines.read_lines(spark, path, skip=1).select("code").distinct().count() == 400

@@ -111,8 +111,10 @@ def corrected_markers(markers: DataFrame, done: DataFrame | None = None) -> Data
     return rows if done is None else rows.join(done.select("subject").distinct(), ["subject"], "left_anti")
 
 
-def write_markers(spark: SparkSession, markers: DataFrame, originals: str, path: str, include: str = "*.vmrk") -> None:
-    """Corrected marker files, one folder per subject: 12 header lines as they were, then the markers.
+def write_markers(
+    spark: SparkSession, markers: DataFrame, originals: str, path: str, include: str = "*.vmrk", packed: bool = False
+) -> None:
+    """Corrected marker files, one folder per subject (or `packed`): 12 header lines as they were, then the markers.
 
     The originals stay untouched. Subjects count as done when `path/_done` names them, which is written last: a
     subject of a run that broke off is written whole by the next run, in place of what is there.
@@ -125,15 +127,12 @@ def write_markers(spark: SparkSession, markers: DataFrame, originals: str, path:
     rows = corrected_markers(markers, done)
     subjects = rows.select("subject").distinct()
     body = rows.select("subject", F.col("marker_num").alias("line"), F.col("output").alias("text"))
-    # a line lies within the header when fewer than 12 lines of its file precede it
-    everything = read_lines(spark, originals, include, ("_2", "_original"))
-    rest = read_lines(spark, originals, include, ("_2", "_original"), skip=12)
     header = (
-        everything.join(rest.select("file", "line"), ["file", "line"], "left_anti")
+        read_lines(spark, originals, include, ("_2", "_original"), skip=12, keep=True)
         .withColumnRenamed("code", "subject")
         .join(subjects, ["subject"], "left_semi")
     )
-    write_lines(body, path, header, by="subject", mode="replace")
+    write_lines(body, path, header, by="subject", mode="replace", packed=packed)
     subjects.write.mode("append").parquet(finished)
 
 
