@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmill.operators import gaze
+from trialmill.operators.ordered import chunks_with_reach, place_in_order
 
 from conftest import rows
 
@@ -189,3 +190,18 @@ def test_cleaning_is_cut_without_a_trace(spark):
     df = eye_frame(spark, pupils, {0, 3, 6, 7, 20, 59}).withColumn("pupil_r_mm", F.when(F.col("time") % 13 == 4, 0.0).otherwise(3.0))
     clean = lambda **cut: gaze.mask_blinks(gaze.merge_eyes(gaze.interpolate_gaps(df, **cut)), **cut)
     assert rows(clean(task_rows=5)) == rows(clean())
+
+
+@pytest.mark.parametrize("task_rows", [2, 7])
+def test_recordings_are_cleaned_without_a_trace(spark, task_rows):
+    pupils = [0 if i % 7 == 3 else i for i in range(60)]
+    df = eye_frame(spark, pupils, {0, 3, 6, 7, 20, 59}).withColumn("pupil_r_mm", F.when(F.col("time") % 13 == 4, 0.0).otherwise(3.0))
+    df = df.unionByName(df.where("time < 9").withColumn("subject", F.lit(None).cast("string"))).repartition(5)
+    want = gaze.mask_blinks(gaze.merge_eyes(gaze.interpolate_gaps(df)))
+    have = gaze.clean_recordings(df, gaze.TRIAL, task_rows=task_rows)
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(have.select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    # no chunk is larger than asked for, whatever the recording
+    placed = place_in_order(df, gaze.TRIAL, ["time"], task_rows)
+    chunks = chunks_with_reach(placed, task_rows, 3, 3).groupBy("_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] == task_rows + 6

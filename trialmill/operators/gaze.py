@@ -2,7 +2,8 @@
 
 Windows here are over one trial. The window join bounds a trial to a second and a half of samples, so a
 subject with many trials spreads over many tasks. Whole recordings have no such bound: with `task_rows` the groups
-of `keys` are counted, and those above it are cut along the time (see `ordered`), with equal results.
+of `keys` are counted, and where one is above it all are sorted and cut along the time, with equal results: chunks
+hold the few samples around them that detection looks at, and hand over the flagged times and numbers of runs.
 """
 
 from __future__ import annotations
@@ -16,10 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .ordered import Lag, LastValue, Lead, NextValue, RunningSum, Spec, with_ordered
+from ..session import new_path
+from .ordered import (
+    CHUNK, Lag, LastValue, Lead, NextValue, RunningSum, Spec, at_home, chunks_with_reach, place_in_order, with_ordered,
+    with_ordered_chunks,
+)
 
 TRIAL = ("subject", "block", "trial")
 
+#: Samples of a recording that a task should hold: their rows are wide.
+CHUNK_SAMPLES = 50_000
+
 # Measured fields of a gaze sample.
 FIELDS = (
     "pupil_l_x",
@@ -115,6 +123,20 @@ def mask_blinks(
     )
 
 
+def clean_recordings(raw: DataFrame, keys: Sequence[str], time: str = "time", task_rows: int = CHUNK_SAMPLES) -> DataFrame:
+    """Gaps filled, eyes merged and blinks masked in recordings of any length, which are sorted and cut once for all."""
+
+    def clean(samples: DataFrame, by: Sequence[str]) -> DataFrame:
+        return mask_blinks(merge_eyes(interpolate_gaps(samples, keys=by, time=time)), keys=by, time=time)
+
+    placed = place_in_order(raw, keys, [time], task_rows)
+    if placed is None:
+        return clean(raw, keys)
+    # a blink reaches two samples, a filled gap one more
+    chunks = chunks_with_reach(placed, task_rows, 3, 3)
+    return at_home(clean(chunks, [*keys, CHUNK]), task_rows).drop(CHUNK)
+
+
 def gaze_runs(
     samples: DataFrame,
     px_per_degree: float,
@@ -137,7 +159,11 @@ def gaze_runs(
         *keys, time, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), "blink"
     )
     specs = {"_before": Lag(here), "_earlier": Lag(here, 2), "_after": Lead(F.struct("x", "y"))}
-    moved = _along(placed, keys, time, specs, task_rows)
+    in_order = None if task_rows is None else place_in_order(placed, keys, [time], task_rows)
+    if in_order is None:
+        moved = _along(placed, keys, time, specs, None)
+    else:
+        moved = _along(chunks_with_reach(in_order, task_rows, 2, 1), [*keys, CHUNK], time, specs, None)
 
     def seconds(now: Column, then: Column) -> Column:
         return (now["t"] - then["t"]) / 1000.0
@@ -151,11 +177,18 @@ def gaze_runs(
     flag = (fast > velocity) | (gain > acceleration) | F.col("blink")
     flagged = moved.withColumn("_flagged_at", F.when(flag, t)).drop("_earlier")
     near = {"_last": LastValue(F.col("_flagged_at"), strict=True), "_next": NextValue(F.col("_flagged_at"))}
-    dated = _along(flagged, keys, time, near, task_rows)
+    if in_order is None:
+        along = lambda rows, columns: _along(rows, keys, time, columns, None)
+    else:
+        along = lambda rows, columns: with_ordered_chunks(rows, keys, [time], columns)
+        spark, path = samples.sparkSession, new_path(samples.sparkSession, "moved")
+        at_home(flagged, task_rows).write.parquet(path)
+        flagged = spark.read.parquet(path)
+    dated = along(flagged, near)
     starts = F.col("_flagged_at").isNotNull() & (
         F.col("_last").isNull() | (t - F.col("_last") >= refractory)
     )
-    numbered = _along(dated, keys, time, {"run": RunningSum(starts.cast("int"))}, task_rows)
+    numbered = along(dated, {"run": RunningSum(starts.cast("int"))})
     saccade = F.col("_flagged_at").isNotNull() | F.coalesce(
         F.col("_next") - F.col("_last") < refractory, F.lit(False)
     )

@@ -16,17 +16,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..session import reliable_checkpoint
+from ..session import new_path, reliable_checkpoint
 
 TASK_ROWS = 4_000_000
 
-CHUNK = "_chunk"
+CHUNK, PLACE = "_chunk", "_place"
 
 
 @dataclass(frozen=True)
@@ -212,6 +213,65 @@ def with_ordered(
     return joined.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
 
 
+def place_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], task_rows: int) -> DataFrame | None:
+    """The rows with `_place`, their place from zero among all rows along `by` and `order`, stored in that order.
+
+    None when no group has more rows than a task should hold. The rows are sorted by ranges, so no group has to fit a
+    task; the table of ranges, one row for each, is broadcast.
+    """
+    rows = df.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (rows.most or 0) <= task_rows:
+        return None
+    spark, path = df.sparkSession, new_path(df.sparkSession, "ordered")
+    ranges = df.repartitionByRange(ceil(rows.all / task_rows), *by, *order).sortWithinPartitions(*by, *order)
+    ranges.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    # the number of a row holds its range and its place in it
+    part = F.shiftright("_id", 33)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.shiftleft("_part", 33)
+    placed = stored.join(F.broadcast(sizes.select("_part", shift.alias("_shift"))), part == F.col("_part"))
+    return placed.select(*df.columns, (F.col("_id") + F.col("_shift")).alias(PLACE))
+
+
+def chunks_with_reach(placed: DataFrame, task_rows: int, before: int, after: int) -> DataFrame:
+    """Placed rows in chunks of `task_rows` (`_chunk`), each with copies of the rows around that its rows look at.
+
+    Windows over a chunk and its groups give right values for the rows that `at_home` keeps.
+    """
+    place = F.col(PLACE)
+    chunks = F.sequence(F.floor((place - after) / task_rows), F.floor((place + before) / task_rows))
+    return placed.withColumn(CHUNK, F.explode(chunks))
+
+
+def at_home(chunks: DataFrame, task_rows: int) -> DataFrame:
+    """The rows of the chunks without the copies around."""
+    return chunks.where(F.col(CHUNK) == F.floor(F.col(PLACE) / task_rows)).drop(PLACE)
+
+
+def with_ordered_chunks(chunks: DataFrame, by: Sequence[str], order: Sequence[str], specs: Mapping[str, Spec]) -> DataFrame:
+    """As `with_ordered`, over stored rows whose `_chunk` grows along the order; the column stays.
+
+    What chunks hand over concerns groups of several chunks alone, at most two rows a chunk, and is broadcast.
+    """
+    keys, columns = list(by), chunks.columns
+    inputs = {f"_in_{n}": s.value for n, s in specs.items() if not isinstance(s, RowNumber)}
+    cut = chunks.withColumns(inputs) if inputs else chunks
+    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    backward = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
+    local = {f"_local_{n}": _over(s, F.col(f"_in_{n}"), window, backward, boxed=True) for n, s in specs.items()}
+    carried = _carry(cut, keys, list(order), specs)
+    among = Window.partitionBy(*[f"_carry_{k}" for k in keys])
+    carried = carried.withColumn("_several", F.count(F.lit(1)).over(among)).where("_several > 1").drop("_several")
+    joined = cut.withColumns(local).join(
+        F.broadcast(reliable_checkpoint(carried)),
+        [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in keys] + [F.col(CHUNK) == F.col("_carry_chunk")],
+        "left",
+    )
+    return joined.select(*columns, *[_combine(n, s).alias(n) for n, s in specs.items()])
+
+
 def _over(spec: Spec, value: Column, window: WindowSpec, backward: WindowSpec, boxed: bool = False) -> Column:
     """The spec as a window function. Boxed neighbours tell a missing value from a missing row."""
     box = F.struct if boxed else lambda c: c

@@ -247,8 +247,8 @@ RECORDING = ["recording"]
 
 def recordings(spark: SparkSession, sf_dir: str, task_rows: int | None = None) -> DataFrame:
     """Cleaned gaze of the recordings."""
-    options = {"keys": RECORDING, "task_rows": task_rows or ordered.TASK_ROWS}
-    cleaned = gaze.mask_blinks(gaze.merge_eyes(gaze.interpolate_gaps(raw_recordings(spark, sf_dir), **options)), **options)
+    rows = task_rows or min(ordered.TASK_ROWS, gaze.CHUNK_SAMPLES)
+    cleaned = gaze.clean_recordings(raw_recordings(spark, sf_dir), RECORDING, task_rows=rows)
     return cleaned.select("recording", "time", "x", "y", "blink")
 
 
