@@ -29,7 +29,7 @@ from .shared import bit_words, components, held, maybe_in, slices, stage
 #: Buckets of the table of gram counts, which gives the global order (fixed size, broadcast).
 BUCKETS = 1 << 18
 #: Grams of a cluster per block, which bounds a task; bytes of text that are hashed at a time.
-BLOCK_GRAMS, CHUNK_BYTES = 400_000, 1 << 20
+BLOCK_GRAMS, CHUNK_BYTES = 400_000, 1 << 18
 #: Bits of the filter that spares texts outside all clusters (fixed size, broadcast).
 FILTER_BITS = 1 << 22
 #: Bits of the filter that spares rare grams a second shuffle (fixed size, broadcast).
@@ -150,7 +150,7 @@ class _Nodes:
                 rows.append((doc, len(grams), *_signature(grams)))
                 waiting.append((grams & _U(BUCKETS - 1)).astype(np.int32))
                 held += len(grams)
-                if held >= 2_000_000:
+                if held >= 500_000:
                     counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
                     waiting, held = [], 0
             none = [None] * len(rows)

@@ -11,7 +11,7 @@ from . import (
     alignment, byte_bpe, chat_prefix, html_blocks, line_templates, mixing, ngram_trie, piece_bpe, pivot_table, toxicity,
     url_terms, vp_centroids, vp_trees,
 )
-from .shared import table
+from .shared import stage, table
 from .sql import SQL, op3
 
 #: Vocabulary of the tokenizer.
@@ -121,7 +121,11 @@ def op13_vp_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tokens(docs: DataFrame) -> DataFrame:
     path, pattern = byte_bpe.public_vocabulary(VOCABULARY)
-    ids = byte_bpe.encode(docs, path, pattern).drop("text")
+    return _decoded(byte_bpe.encode(docs, path, pattern).drop("text"))
+
+
+def _decoded(ids: DataFrame) -> DataFrame:
+    path, pattern = byte_bpe.public_vocabulary(VOCABULARY)
     return byte_bpe.decode(ids, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -162,7 +166,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents of the mix."""
-    return _tokens(docs.select("doc_id", "text"))
+    # ids are stored, so that no task needs a worker to encode and another to decode, with a vocabulary each
+    path, pattern = byte_bpe.public_vocabulary(VOCABULARY)
+    return _decoded(stage(byte_bpe.encode(docs.select("doc_id", "text"), path, pattern).drop("text"), "ids"))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,10 +19,23 @@ SLICE_ROWS = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most `rows` rows, so that a worker holds few texts at a time."""
+    """The batches in parts of at most `rows` rows, so that a worker holds few texts at a time.
+
+    After the last one the worker, which waits for its next task beside others, hands back the memory it has freed.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process has freed but kept goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 _held: list[tuple[Any, Any]] = []
@@ -33,11 +47,18 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     A worker serves many tasks of a stage and may serve later stages too: it keeps one such object at most.
     """
     if not _held or _held[0][0] != key:
-        _held.clear()
+        let_go()
         _held.append((key, make()))
     return _held[0][1]
 
 
+def let_go() -> None:
+    """Drop what the worker keeps for an earlier operator; tasks that hold nothing themselves begin with it."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
 def with_column(df: DataFrame, source: str, into: str, kind: T.DataType, turn: Callable[[pa.Array], pa.Array], rows: int = 256) -> DataFrame:
     """`df` with `into`, made in Python from `source`, a slice at a time; a column of that name is replaced."""
     keep = [c for c in df.columns if c != into]
