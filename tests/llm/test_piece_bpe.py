@@ -70,6 +70,41 @@ def test_long_runs_are_linear():
         check(text)
 
 
+def test_cuts_where_no_piece_goes_on():
+    parts = ["under", "Stand", "zehn", "mañana", "日本"]
+    codec = piece_bpe.Codec(piece_bpe.read_pieces(PATH))
+    text = " ".join(f"{a}.\n{b}\t{c}," for a in parts for b in parts for c in parts)
+    assert codec.encode(text) == LIBRARY.encode(text)
+    # what is remembered grows with the parts, not with the ways in which they follow one another
+    assert len(codec.known) <= 4 * len(parts)
+
+
+def test_no_token_crosses_a_cut():
+    signs = "".join(WORDS) + "\x00😀\n\n" + "".join(reversed(WORDS))
+    ends = {0, len(signs), *CODEC._cuts(signs, 0)} | {end for start in range(0, len(signs), piece_bpe.LONG) for end in CODEC._cuts(signs, start)}
+    held = {ab for w in WORDS for ab in zip(w, w[1:])}
+    assert ends == {0, len(signs)} | {i for i in range(1, len(signs)) if (signs[i - 1], signs[i]) not in held}
+
+
+@pytest.mark.parametrize("long", [1, 2, 7, 50])
+def test_long_texts_are_cut_as_short_ones(long, monkeypatch):
+    texts = ["a", "ab", "don't stop! Día 日本.\nÜber😀  the  end,\x00 " * 3, " " * 101, "-" * 49 + ".x"]
+    whole = [list(CODEC._words(t)) for t in texts]
+    monkeypatch.setattr(piece_bpe, "LONG", long)
+    assert [list(CODEC._words(t)) for t in texts] == whole
+    assert ["".join(w) for w in whole] == texts
+    for text in texts:
+        check(text)
+
+
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_characters_may_share_a_kind(kinds, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "CHARACTER_KINDS", kinds)
+    codec = piece_bpe.Codec(piece_bpe.read_pieces(PATH))
+    for text in ("don't stop! Día 日本.\nÜber😀  the  end,\x00 " * 3, "▁" * 9, " ".join(WORDS[::50]), "x.\ny,z"):
+        assert codec.encode(text) == LIBRARY.encode(text)
+
+
 def test_hard_rows(spark, docs):
     long = "aé" * 20_000 + " " * 30_000 + "don't stop! " * 9_000
     rows = [(1, None, "s"), (2, "", None), (3, "<s> <unk> <0x0A>", "s"), (4, long, "s"), (4, long, "s"), (None, "ok", "s"), (5, " \n\n x\r\n", "s")]

@@ -7,6 +7,9 @@ one last token: the one of the tokens ending there which goes with the last toke
 automaton over all pieces yields the tokens that end at each place; the table of last tokens is filled from the
 left, and the ids are read off it from the right. The work is linear in the text.
 
+A text is cut first where two characters meet that no piece holds side by side: no merge crosses such a place. The
+stretches between are shorter than words and recur more often, so most of them are remembered.
+
 A pair of tokens is tested by undoing their merges at the seam, the latest first: the pair stands unless a merge
 across the seam would have come before the one just undone. That needs parts that are merged before the whole.
 Pieces without this order (runs of spaces, which share one score) are tested by merging their joint text.
@@ -16,11 +19,15 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
 import zlib
 from array import array
+from collections.abc import Iterable
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,6 +40,8 @@ SPACE = "\N{LOWER ONE EIGHTH BLOCK}"
 REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHARS = 200_000, 300_000, 48
 #: Characters of a text whose words are listed at once.
 LONG = 100_000
+#: Kinds of characters that a piece goes on after, and that it goes on with; further characters share a kind.
+CHARACTER_KINDS = 1_000
 #: Two ids in one number; marks of a place without a last token so far, and of the beginning.
 SHIFT, NONE, START = 32, -1, -2
 #: What an unknown id is decoded to.
@@ -105,12 +114,39 @@ class Codec:
         for word in self.words:
             if self.foreign.search(word):
                 raise ValueError(f"the characters of {word!r} are no pieces")
-        # no piece goes on with a space after something else: such places always part tokens
-        self.parted = not any(SPACE in w.lstrip(SPACE) for w in self.words)
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.parted else re.compile("(?s:.+)")
+        self._side_by_side()
         self.goes: dict[int, bool] = {}
         self.known = _Known(self)
 
+    def _side_by_side(self) -> None:
+        """The kind of each character before and behind a place, and which two kinds always part tokens there.
+
+        Characters of one kind part tokens only if all of them do. Kind 0 is that of characters without a piece
+        that goes on there; foreign ones are of kind 0 on either side, so they stand alone.
+        """
+        pairs = {ab for word in self.words for ab in pairwise(word)}
+        n_behind = min(len({b for _, b in pairs}), CHARACTER_KINDS) + 1
+        self.before, self.behind = np.zeros(sys.maxunicode + 1, np.int32), np.zeros(sys.maxunicode + 1, np.int32)
+        for k, a in enumerate(sorted({a for a, _ in pairs})):
+            self.before[ord(a)] = (k % CHARACTER_KINDS + 1) * n_behind
+        for k, b in enumerate(sorted({b for _, b in pairs})):
+            self.behind[ord(b)] = k % CHARACTER_KINDS + 1
+        self.part = np.ones(int(self.before.max()) + n_behind, bool)
+        for a, b in pairs:
+            self.part[self.before[ord(a)] + self.behind[ord(b)]] = False
+
+    def _cuts(self, signs: str, start: int) -> list[int]:
+        """The places behind `start`, among the next LONG ones, that no token crosses."""
+        codes = np.frombuffer(signs[start : start + LONG + 1].encode("utf-32-le"), np.uint32)
+        return (np.flatnonzero(self.part[self.before[codes[:-1]] + self.behind[codes[1:]]]) + (start + 1)).tolist()
+
+    def _words(self, signs: str) -> Iterable[str]:
+        """The stretches that no token crosses."""
+        if len(signs) <= LONG:
+            return [signs[a:b] for a, b in pairwise([0, *self._cuts(signs, 0), len(signs)])]
+        cuts = chain.from_iterable(self._cuts(signs, start) for start in range(0, len(signs), LONG))
+        return (signs[a:b] for a, b in pairwise(chain([0], cuts, [len(signs)])))
+
     def _made(self, token: int) -> float:
         """Score of a token's last merge; a character is there from the start."""
         return self.score[token] if token in self.parts else float("inf")
@@ -194,9 +230,7 @@ class Codec:
         """Ids of the text as 32-bit integers, one after another."""
         if not text:
             return b""
-        signs = SPACE + text.replace(" ", SPACE)
-        words = self.word.findall(signs) if len(signs) <= LONG else (m.group() for m in self.word.finditer(signs))
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self._words(SPACE + text.replace(" ", SPACE))))
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
