@@ -122,7 +122,7 @@ class Codec:
         """The kind of each character before and behind a place, and which two kinds always part tokens there.
 
         Characters of one kind part tokens only if all of them do. Kind 0 is that of characters without a piece
-        that goes on there; foreign ones are of kind 0 on either side, so they stand alone.
+        that goes on there; foreign ones are of kind 0 on either side, so they stand alone. A space is of the kind of its sign.
         """
         pairs = {ab for word in self.words for ab in pairwise(word)}
         n_behind = min(len({b for _, b in pairs}), CHARACTER_KINDS) + 1
@@ -134,18 +134,20 @@ class Codec:
         self.part = np.ones(int(self.before.max()) + n_behind, bool)
         for a, b in pairs:
             self.part[self.before[ord(a)] + self.behind[ord(b)]] = False
+        for kind in (self.before, self.behind):
+            kind[ord(" ")] = kind[ord(SPACE)]
 
-    def _cuts(self, signs: str, start: int) -> list[int]:
+    def _cuts(self, text: str, start: int) -> list[int]:
         """The places behind `start`, among the next LONG ones, that no token crosses."""
-        codes = np.frombuffer(signs[start : start + LONG + 1].encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(text[start : start + LONG + 1].encode("utf-32-le"), np.uint32)
         return (np.flatnonzero(self.part[self.before[codes[:-1]] + self.behind[codes[1:]]]) + (start + 1)).tolist()
 
-    def _words(self, signs: str) -> Iterable[str]:
+    def _words(self, text: str) -> Iterable[str]:
         """The stretches that no token crosses."""
-        if len(signs) <= LONG:
-            return [signs[a:b] for a, b in pairwise([0, *self._cuts(signs, 0), len(signs)])]
-        cuts = chain.from_iterable(self._cuts(signs, start) for start in range(0, len(signs), LONG))
-        return (signs[a:b] for a, b in pairwise(chain([0], cuts, [len(signs)])))
+        if len(text) <= LONG:
+            return [text[a:b] for a, b in pairwise([0, *self._cuts(text, 0), len(text)])]
+        cuts = chain.from_iterable(self._cuts(text, start) for start in range(0, len(text), LONG))
+        return (text[a:b] for a, b in pairwise(chain([0], cuts, [len(text)])))
 
     def _made(self, token: int) -> float:
         """Score of a token's last merge; a character is there from the start."""
@@ -230,7 +232,7 @@ class Codec:
         """Ids of the text as 32-bit integers, one after another."""
         if not text:
             return b""
-        return b"".join(map(self.known.__getitem__, self._words(SPACE + text.replace(" ", SPACE))))
+        return b"".join(map(self.known.__getitem__, self._words(" " + text)))
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
@@ -254,7 +256,8 @@ class _Known(dict):
     def __missing__(self, word: str) -> bytes:
         tokens = self.before.get(word)
         if tokens is None:
-            tokens = array("i", self.codec.encode_word(word)).tobytes()
+            # the sign takes the place of spaces in new words only: most texts need a byte a character without it
+            tokens = array("i", self.codec.encode_word(word.replace(" ", SPACE))).tobytes()
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)
