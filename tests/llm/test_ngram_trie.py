@@ -112,3 +112,81 @@ def test_stage_keeps_one_of_each_class(spark, docs):
     rows = corpus(120, seed=1) + [(2000, None, "s"), (2001, "", "s")]
     left = {r.doc_id for r in queries.drop_near_copies(spark, docs(rows), "").collect()}
     assert left == {c for *_, c in classes(rows, 5, (4, 5))}
+
+
+def overlap_links(a, b, least):
+    top, bottom = least
+    shared = len(np.intersect1d(a, b))
+    return bottom * shared >= top * (len(a) + len(b) - shared)
+
+
+def sets_of_families(rng, families, members):
+    """Sets of 64-bit grams, in families with different shares in common."""
+    sets = []
+    for size in families:
+        whole = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for _ in range(members):
+            keep = whole[rng.random(size) > rng.choice([0.0, 0.02, 0.1, 0.4])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 10)).astype(np.uint64)])))
+    return [s for s in sets if len(s)]
+
+
+def test_texts_that_meet_by_chance_form_no_cluster(docs, monkeypatch):
+    largest = []
+
+    def watched(edges):
+        found = components(edges)
+        largest.append(max([0, *(r["count"] for r in found.groupBy("component").count().collect())]))
+        return found
+
+    monkeypatch.setattr(ngram_trie, "components", watched)
+    # each text shares one half with the text before and one with the text after: a chain through all, without a link
+    half = lambda k: [f"p{k}w{j}" for j in range(60)]
+    rows = [(k, " ".join(half(k) + half(k + 1)), "s") for k in range(30)]
+    rows.append((100, rows[7][1].replace("p8w30", "other"), "s"))
+    out = sorted(map(tuple, ngram_trie.connect(docs(rows), 4, (85, 100)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert out == classes(rows, 4, (85, 100))
+    assert dict((i, c) for i, _, c in out)[100] == 7
+    assert max(largest) == 2
+
+
+@pytest.mark.parametrize(("most", "least"), [(1 << 18, (85, 100)), (256, (4, 5)), (1 << 18, (1, 2))])
+def test_sketches_never_part_what_links(monkeypatch, most, least):
+    monkeypatch.setattr(ngram_trie, "SKETCH_BITS", most)
+    sets = sets_of_families(np.random.default_rng(5), [1, 6, 30, 33, 200, 500, 1_100], 12)
+    sketches = [np.frombuffer(ngram_trie._sketch(s), np.uint64) for s in sets]
+    told = np.array([[ngram_trie.may_link(len(a), x, np.array([len(b)]), y[None], least)[0] for b, y in zip(sets, sketches)] for a, x in zip(sets, sketches)])
+    links = np.array([[overlap_links(a, b, least) for b in sets] for a in sets])
+    assert links.sum() > len(sets) and told[links].all()
+    if most > 256:
+        assert told.sum() < 1.5 * links.sum()
+
+
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_meetings_connect_all_that_may_link(chunks):
+    rng, least = np.random.default_rng(6), (85, 100)
+    sets = sets_of_families(rng, [40, 45, 300, 300], 25)
+    m = len(sets)
+    sizes, sketches = np.array([len(s) for s in sets]), [np.frombuffer(ngram_trie._sketch(s), np.uint64) for s in sets]
+    nodes, labels = rng.integers(-(1 << 62), 1 << 62, m), np.where(rng.random(m) < 0.4, 0, np.arange(m))
+    links = []
+    for mine in range(chunks):
+        k = np.flatnonzero((labels != 0) | (nodes % chunks == mine))
+        links += ngram_trie.meetings(nodes[k], labels[k], sizes[k], labels[k] != 0, [sketches[i] for i in k], (mine, chunks), least)
+
+    def joined(pairs):
+        of = {int(x): int(x) for x in labels}
+        for a, b in pairs:
+            of = {x: of[a] if c == of[b] else c for x, c in of.items()}
+        return {frozenset(x for x, c in of.items() if c == d) for d in of.values()}
+
+    every = [(int(labels[i]), int(labels[j])) for i in range(m) for j in range(m) if ngram_trie.may_link(sizes[i], sketches[i], sizes[j : j + 1], sketches[j][None], least)[0]]
+    assert joined(links) == joined(every) and len(joined(every)) > 1
+
+
+def test_agrees_with_all_pairs_in_small_meetings(docs, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "MEET_SETS", 3)
+    monkeypatch.setattr(ngram_trie, "BLOCK_GRAMS", 300)
+    rows = corpus(220, seed=77)
+    got = ngram_trie.connect(docs(rows), 4, (85, 100)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == classes(rows, 4, (85, 100))

@@ -4,8 +4,10 @@ Documents are sets of word n-grams in one global order, rare grams first. Two se
 they share one of the first few grams of each; such shared grams lead sets to a common cluster. The order comes in
 two steps. A table of counts of fixed size tells very frequent grams, and gives each set a head somewhat longer
 than needed: heads of sets that link share several grams. Exact counts are then made of the grams of heads only,
-and the rarest of a head, as many as at least one shared gram must be among, decide. Inside a cluster the sets
-stand in a trie, frequent grams first, so that similar sets share long paths. Every set is walked down
+and the rarest of a head, as many as at least one shared gram must be among, tell which sets meet. In a large
+collection most of these meet by chance, and through them nearly all sets would hang together. So two sets that
+meet lead to one cluster only if their sketches, bitmaps of their grams, leave room for the overlap that a link
+needs. Inside a cluster the sets stand in a trie, frequent grams first, so that similar sets share long paths. Every set is walked down
 the trie: what it shares with a path is counted once for all sets below, and a subtree is left as soon as the
 remaining lengths can't give the overlap that a link needs. Large clusters are cut into blocks, and each pair of
 blocks is joined in a task of its own.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .shared import bit_words, components, held, maybe_in, slices, stage
 BUCKETS = 1 << 18
 #: Grams of a cluster per block, which bounds a task; bytes of text that are hashed at a time.
 BLOCK_GRAMS, CHUNK_BYTES = 400_000, 1 << 18
+#: Most bits of a set's sketch (a larger set has a fuller one, which tells less); sets of one gram that meet in a task.
+SKETCH_BITS, MEET_SETS = 1 << 18, 4_096
 #: Bits of the filter that spares texts outside all clusters (fixed size, broadcast).
 FILTER_BITS = 1 << 22
 #: Bits of the filter that spares rare grams a second shuffle (fixed size, broadcast).
@@ -175,8 +180,38 @@ def _needed(n: int, least: tuple[int, int]) -> int:
     return n - -(-top * n // bottom) + 1
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """A bitmap with the bits of the set's grams, at least two bits a gram up to SKETCH_BITS in all."""
+    size = min(SKETCH_BITS, max(64, 1 << (2 * len(grams) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(grams & _U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they are with fewer bits."""
+    return np.bitwise_or.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def may_link(n: int, sketch: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Whether a set of n grams can link with others, by their sketches in rows; never false for a link.
+
+    A bit of one sketch that the other lacks stands for a gram, or several, that are not shared.
+    """
+    words = min(len(sketch), sketches.shape[1])
+    if len(sketch) > words:
+        sketch = _fold(sketch[None], words)[0]
+    elif sketches.shape[1] > words:
+        sketches = _fold(sketches, words)
+    top, bottom = least
+    need = -(-top * (n + sizes) // (top + bottom))
+    count = lambda bits: np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+    both = count(sketches & sketch)
+    return (n - count(sketch) + both >= need) & (sizes - count(sketches) + both >= need)
+
+
 class _Heads:
-    """Second pass: the head of every set in the order of the table of counts."""
+    """Second pass: the head of every set in the order of the table of counts, and its sketch."""
 
     def __init__(self, words: int, least: tuple[int, int], counts):
         self.words, self.least, self.counts = words, least, counts
@@ -188,14 +223,133 @@ class _Heads:
             for grams in gram_sets(part.column(0), self.words):
                 if len(grams):
                     n = _needed(len(grams), self.least)
-                    rows.append((*_signature(grams), n, _ranked(grams, counts)[: n + n // 3].view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                    rows.append((*_signature(grams), _ranked(grams, counts)[: n + n // 3].view(np.int64), _sketch(grams)))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             columns = _columns(*zip(zip(*rows), kinds)) if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "needed", "head"])
+            yield pa.RecordBatch.from_arrays(columns, ["s1", "s2", "head", "sketch"])
+
+
+class _Star:
+    """Pairs (`a`, `b`) whose sketches allow a link."""
+
+    def __init__(self, least: tuple[int, int]):
+        self.least = least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+        for part in slices(batches, 2_000):
+            a, b, sizes, others, left, right = part.columns
+            others = others.to_numpy()
+            keep = [
+                bool(may_link(n, words(x), others[i : i + 1], words(y)[None], self.least)[0])
+                for i, (n, x, y) in enumerate(zip(sizes.to_pylist(), left, right))
+            ]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def meetings(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, asks: np.ndarray, sketches: list[np.ndarray], share: tuple[int, int], least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of labels that connect all sets with different labels whose sketches allow a link.
+
+    Sets that ask are held against those that don't, and against each other where the sum of their names falls into
+    this task's share (number, of how many).
+    """
+    top, bottom = least
+    mine, of = share
+    labels = labels.copy()
+    lengths = np.array([len(x) for x in sketches])
+    alike = [(k, np.stack([sketches[i] for i in k])) for k in (np.flatnonzero(lengths == n) for n in np.unique(lengths))]
+    place = nodes % of
+    links = []
+    for i in np.flatnonzero(asks):
+        for k, rows in alike:
+            fits = (labels[k] != labels[i]) & (top * sizes[k] <= bottom * sizes[i]) & (top * sizes[i] <= bottom * sizes[k])
+            fits &= ~asks[k] | ((k > i) & ((place[k] + place[i]) % of == mine))
+            if not fits.any():
+                continue
+            met = k[fits]
+            for j in met[may_link(sizes[i], sketches[i], sizes[met], rows[fits], least)]:
+                if labels[i] != labels[j]:
+                    links.append((int(labels[i]), int(labels[j])))
+                    labels[labels == labels[j]] = labels[i]
+    return links
+
+
+class _Meet:
+    """Joins the sets that meet at a gram, whose rows arrive one after another."""
+
+    def __init__(self, least: tuple[int, int]):
+        self.least = least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        top, bottom = self.least
+
+        def done() -> list[tuple[int, int]]:
+            # most groups are small, and most of these hold no two sets of like sizes and different labels
+            if len(rows) < 16 and not any(
+                x[1] != y[1] and top * x[2] <= bottom * y[2] and top * y[2] <= bottom * x[2] for x, y in combinations(rows, 2)
+            ):
+                return []
+            *columns, sketches = zip(*rows)
+            columns = [np.array(c, kind) for c, kind in zip(columns, (np.int64, np.int64, np.int64, bool))]
+            return meetings(*columns, [np.frombuffer(x.as_buffer(), np.uint64) for x in sketches], key[1:], self.least)
+
+        for part in slices(batches):
+            links = []
+            *columns, sketches = part.columns
+            for gram, chunk, chunks, *row, sketch in zip(*[c.to_pylist() for c in columns], sketches):
+                if (gram, chunk, chunks) != key:
+                    links += done()
+                    key, rows = (gram, chunk, chunks), []
+                rows.append((*row, sketch))
+            yield self._batch(links)
+        yield self._batch(done())
+
+    @staticmethod
+    def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_columns(([a for a, _ in links], pa.int64()), ([b for _, b in links], pa.int64())), ["a", "b"])
+
+
+def _clusters(leading: DataFrame, sketches: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Components (`node`, `component`) of the pairs that meet at a gram of `leading` and whose sketches allow a link.
+
+    In each gram's group, the sets are held first against the lowest one. Those that stay with it, there or elsewhere,
+    have one label; then the sets of a group with different labels meet in a task. The sets of a group's commonest
+    label are dealt to several tasks where they are many, and only the others go to each of these. So a large group
+    of near copies costs as many comparisons as it has members.
+    """
+    top, bottom = least
+    lowest = leading.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("low"))
+    star = leading.join(lowest, "gram").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("n_a"), F.col("n").alias("n_b"))
+    star = star.where(f"a < b AND {top} * n_a <= {bottom} * n_b AND {top} * n_b <= {bottom} * n_a").distinct()
+    for side in "ab":
+        star = star.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    star = star.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_Star(least), "a long, b long")
+    labels = stage(components(star))
+
+    labelled = leading.join(labels, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("label"))
+    labelled = stage(labelled)
+    groups = labelled.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("low"))
+    groups = groups.groupBy("gram").agg(
+        F.max(F.struct("k", "label")).alias("most"), F.min("low").alias("low"), F.sum("k").alias("sets"), F.count(F.lit(1)).alias("labels")
+    )
+    groups = groups.where("labels > 1 AND sets > 2").select(
+        "gram", "low", F.col("most.label").alias("common"), F.ceil(F.col("sets") / MEET_SETS).cast("int").alias("chunks")
+    )
+    sets = labelled.join(groups, "gram").where("node > low").withColumn("asks", F.col("label") != F.col("common"))
+    every, one = F.sequence(F.lit(0), F.col("chunks") - 1), F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sets = sets.withColumn("chunk", F.explode(F.when(F.col("asks"), every).otherwise(one))).join(sketches, "node")
+    sets = sets.select("gram", "chunk", "chunks", "node", "label", "n", "asks", "sketch")
+    sets = sets.repartition("gram", "chunk").sortWithinPartitions("gram", "chunk")
+    merged = stage(components(stage(sets.mapInArrow(_Meet(least), "a long, b long"))))
+
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    named = labels.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return named.unionByName(merged.join(labels.select("node"), "node", "left_anti"))
 
 
-def _candidate_pairs(texts: DataFrame, nodes: DataFrame, words: int, least: tuple[int, int], counts) -> DataFrame:
-    """Edges (`a`, `b`) between sets that connect all pairs that can link.
+def _candidates(texts: DataFrame, nodes: DataFrame, words: int, least: tuple[int, int], counts) -> DataFrame:
+    """Clusters (`node`, `component`) of sets: pairs that can link stand in one cluster.
 
     A head has n needed grams and c = n // 3 more, so heads of linked sets share c + 1 grams or more. Order the
     grams of a head by (in one set only or in several, count, gram): the first shared gram is among the first n
@@ -206,7 +360,7 @@ def _candidate_pairs(texts: DataFrame, nodes: DataFrame, words: int, least: tupl
     that stands twice names its two sets in that sum; the sets of more frequent grams are looked up again, and a
     filter spares most of the other grams this second shuffle.
     """
-    heads = stage(texts.select("text").mapInArrow(_Heads(words, least, counts), "s1 long, s2 long, needed int, head array<long>"))
+    heads = stage(texts.select("text").mapInArrow(_Heads(words, least, counts), "s1 long, s2 long, head array<long>, sketch binary"))
     postings = heads.select(_node().alias("node"), F.explode("head").alias("gram"))
     sums = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("times"))
     shared = stage(sums.where("low < high"))
@@ -220,10 +374,10 @@ def _candidate_pairs(texts: DataFrame, nodes: DataFrame, words: int, least: tupl
     length = F.least(F.col("n"), F.col("needed") + F.expr("needed DIV 3"))
     room = (F.col("needed") + 2 - (length - F.size("several"))).cast("int")
     leading = several.join(sizes, "node").where(room > 0)
-    leading = leading.select("node", F.explode(F.slice(F.array_sort("several"), F.lit(1), room)).alias("g"))
-    leading = stage(leading.select("node", F.col("g.gram").alias("gram")))
-    lowest = leading.groupBy("gram").agg(F.min("node").alias("a"))
-    return leading.join(lowest, "gram").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    leading = leading.select("node", "n", F.explode(F.slice(F.array_sort("several"), F.lit(1), room)).alias("g"))
+    leading = stage(leading.select("node", "n", F.col("g.gram").alias("gram")))
+    sketches = stage(heads.select(_node().alias("node"), "sketch").dropDuplicates(["node"]))
+    return _clusters(leading, sketches, least)
 
 
 class _Sets:
@@ -410,8 +564,8 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     ignored; an empty table gives no rows. Texts are read whole. Grams are 64-bit hashes.
 
     `least` must be one half or more. Texts are read three times and never shuffled. What is shuffled: a
-    signature per document, the heads (4/3 * (1 - top/bottom) of the grams) and the whole sets of clusters only.
-    The table of counts and both filters have fixed sizes; a filter that fills up spares nothing (heads are then
+    signature per document, the heads (4/3 * (1 - top/bottom) of the grams), sketches of sets that meet at a rare gram
+    and the whole sets of clusters only. The table of counts and both filters have fixed sizes; a filter that fills up spares nothing (heads are then
     shuffled twice, or all sets once), and the join after it still decides.
     """
     spark = docs.sparkSession
@@ -429,7 +583,7 @@ def connect(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), do
     nodes = members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     nodes = stage(nodes)
     own = _node()
-    clusters = stage(components(_candidate_pairs(texts, nodes, words, least, counts)))
+    clusters = stage(_candidates(texts, nodes, words, least, counts))
 
     of = nodes.select(F.col("node").alias("doc_id"), "s1", "s2", "n", own.alias("key")).join(clusters.withColumnRenamed("node", "key"), "key")
     mass = of.groupBy("component").agg(F.sum("n").alias("mass"))
